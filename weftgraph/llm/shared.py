@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,3 +22,23 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Write a frame to the checkpoint folder and read it from there; lineage ends here."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write a frame as Parquet into the checkpoint folder and read it back, for tables whose columns are read apart."""
+    path = f"{checkpoint_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once a context, so that they need no installation of it."""
+    context = spark.sparkContext
+    if any(name.startswith("weftgraph-") and name.endswith(".zip") for name in context._python_includes):
+        return
+    package = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp()) / f"weftgraph-{uuid.uuid4().hex[:8]}.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for f in sorted(package.rglob("*.py")):
+            out.write(f, f.relative_to(package.parent))
+    context.addPyFile(str(archive))
