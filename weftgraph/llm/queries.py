@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, embedding_dedup, html_text, line_dedup, mixing, ngram_join, token_counts, toxicity
+from . import decontamination, embedding_dedup, html_text, line_dedup, lm_scoring, mixing, ngram_join, pii, token_counts, toxicity
 from .shared import ship
 
 
@@ -34,6 +34,10 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(_table(spark, sf_dir, "documents"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(_table(spark, sf_dir, "documents")).drop("dh", "cuts")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -46,6 +50,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.lm_score(_table(spark, sf_dir, "documents"), token_counts.read_vocabulary(vocabulary_path()))
+
+
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.embedding_dedup(_table(spark, sf_dir, "embeddings"))
 
@@ -55,7 +63,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op3_ngram_join, op5_decontamination, op6_html_text, op7_toxicity, op9_embedding_dedup, op10_mixing)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op3_ngram_join, op4_pii, op5_decontamination, op6_html_text, op7_toxicity, op8_lm_scoring, op9_embedding_dedup, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:

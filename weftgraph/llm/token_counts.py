@@ -33,19 +33,22 @@ class Automaton:
             raise ValueError(f"the vocabulary lacks {len(missing)} single-byte pieces")
         child: dict[int, int] = {}
         piece = [False]
+        self.piece_id = [-1]
         level: list[list[tuple[int, int, int]]] = []
-        for word in pieces:
+        for rank, word in enumerate(pieces):
             node = 0
             for depth, byte in enumerate(word):
                 key = node << 8 | byte
                 if (found := child.get(key)) is None:
                     found = child[key] = len(piece)
                     piece.append(False)
+                    self.piece_id.append(-1)
                     while len(level) <= depth:
                         level.append([])
                     level[depth].append((node, byte, found))
                 node = found
             piece[node] = True
+            self.piece_id[node] = rank
         fail, pops = [0] * len(piece), [0] * len(piece)
         for nodes in level:  # breadth first: a link always points to a shallower node
             for parent, byte, node in nodes:
@@ -65,6 +68,7 @@ class Automaton:
         order = np.argsort(keys)
         self.keys = keys[order]
         self.to = np.fromiter(child.values(), np.int32, len(child))[order]
+        self.piece_id = np.array(self.piece_id, np.int32)
         self.fail, self.pops, self.rest = (np.array(x, np.int32) for x in (fail, pops, rest))
 
     def count(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, lead: int = 32) -> np.ndarray:
@@ -92,6 +96,42 @@ class Automaton:
         return out
 
 
+    def _step(self, state: np.ndarray, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        key = state.astype(np.int64) << 8 | byte
+        slot = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return self.keys[slot] == key, self.to[slot]
+
+    def pieces(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, lead: int = 32) -> tuple[np.ndarray, np.ndarray]:
+        """Greedy longest-match piece ids of each span with the byte ``lead`` before it, and the offsets of each span's."""
+        owner, ids = [], []
+        at, todo = np.full(len(start), -1, np.int64), np.arange(len(start))
+        size = end - start
+        while len(todo):
+            cursor, state = at[todo].copy(), np.zeros(len(todo), np.int32)
+            best, stop = np.zeros(len(todo), np.int32), cursor.copy()
+            live = np.arange(len(todo))
+            while len(live):
+                where = cursor[live]
+                byte = np.where(where < 0, lead, data[np.minimum(start[todo[live]] + np.maximum(where, 0), len(data) - 1)])
+                hit, to = self._step(state[live], byte)
+                live, to = live[hit], to[hit]
+                state[live] = to
+                cursor[live] += 1
+                found = self.piece_id[to]
+                good = found >= 0
+                best[live[good]], stop[live[good]] = found[good], cursor[live[good]]
+                live = live[cursor[live] < size[todo[live]]]
+            owner.append(todo)
+            ids.append(best)
+            at[todo] = stop
+            todo = todo[stop < size[todo]]
+        if not owner:
+            return np.zeros(0, np.int32), np.zeros(1, np.int64)
+        whose, flat = np.concatenate(owner), np.concatenate(ids)
+        order = np.argsort(whose, kind="stable")
+        return flat[order], np.concatenate(([0], np.cumsum(np.bincount(whose, minlength=len(start)))))
+
+
 def token_counts(docs: DataFrame, vocabulary: list[bytes], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Words and greedy word pieces of every whole text.
 
