@@ -153,7 +153,7 @@ def _verify(threshold: float):
     return run
 
 
-def ngram_join(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: float = 0.9999, block: int = 512, block_grams: int = 1 << 20) -> DataFrame:
+def ngram_join(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: float = 0.9999, block: int = 512, block_grams: int = 1 << 20, key: str | None = None) -> DataFrame:
     """Near-duplicate class and number of links of every document.
 
     Two texts link when the Jaccard similarity of their sets of k-word n-grams (lower
@@ -162,10 +162,11 @@ def ngram_join(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: floa
     itself included), n_links (other documents linked directly, copies included; long) and
     kept (doc_id = class_id), one row per input row. A text without words (null, empty)
     links with nothing. Null ids take part: their class_id is null only if no id in the
-    class isn't. Repeated rows are copies of each other. Other columns are ignored.
+    class isn't. Repeated rows are copies of each other. Other columns are ignored, but for
+    ``key``, a hash of id and text that the caller has made and wants returned.
     """
     bands, per_band = choose_bands(threshold, recall)
-    rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("dh"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").alias("id"), (F.col(key) if key else F.xxhash64("text")).alias("dh"), F.col("text").cast("string").alias("text"))
     sig = stored(_signatures(rows, k, bands, per_band))
     some = sig.filter("n > 0")
     classes = stored(some.groupBy("node").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "dh")).alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")))
@@ -194,6 +195,7 @@ def ngram_join(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: floa
     known = classes.filter("copies > 1").select("node").unionByName(links.filter("links > 0").select("node")).distinct()
     info = known.join(classes.select("node", "first_id", "copies"), "node").join(links, "node", "left").join(linked, "node", "left")
     info = checkpointed(info.select(F.col("node").alias("_node"), F.coalesce("class_id", "first_id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
-    out = sig.select("id", "n", "node").join(info, (F.col("node") == F.col("_node")) & (F.col("n") > 0), "left")
+    out = sig.select("id", "dh", "n", "node").join(info, (F.col("node") == F.col("_node")) & (F.col("n") > 0), "left")
     class_id = F.when(F.col("_node").isNull(), F.col("id")).otherwise(F.col("class_id"))
-    return out.select(F.col("id").alias("doc_id"), class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("id").eqNullSafe(class_id).alias("kept"))
+    extra = [F.col("dh").alias(key)] if key else []
+    return out.select(*extra, F.col("id").alias("doc_id"), class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("id").eqNullSafe(class_id).alias("kept"))

@@ -103,16 +103,17 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 12000, bits: int = B
 
 
 def score(docs: DataFrame, weights: pd.DataFrame, bits: int = BITS) -> DataFrame:
-    """The columns of ``docs`` other than text, and the score of each whole text in 0 to 1.
+    """``docs`` with the score of each whole text in 0 to 1 added.
 
-    A null or empty text, or one without words, gets the score of the bias alone.
+    A null or empty text, or one without words, gets the score of the bias alone. A column
+    of the name score is replaced.
     """
     table = np.zeros((1 << bits) + 1)
     table[weights["slot"].to_numpy(np.int64)] = weights["weight"].to_numpy()
     shared = docs.sparkSession.sparkContext.broadcast((table[:-1].astype(np.float32), float(table[-1])))
-    kept = [c for c in docs.columns if c != "text"]
-    names = [f"c{i}" for i in range(len(kept))]
-    rows = docs.select(*[docs[c].alias(n) for c, n in zip(kept, names, strict=True)], docs["text"].cast("string").alias("text"))
+    kept = [c for c in docs.columns if c != "score"]
+    names = ["text" if c == "text" else f"c{i}" for i, c in enumerate(kept)]
+    rows = docs.select(*[(docs[c].cast("string") if c == "text" else docs[c]).alias(n) for c, n in zip(kept, names, strict=True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, bias = shared.value
@@ -125,7 +126,7 @@ def score(docs: DataFrame, weights: pd.DataFrame, bits: int = BITS) -> DataFrame
                 p = 1.0 / (1.0 + np.exp(-np.clip(sums, -35, 35)))
                 yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(len(kept))], pa.array(p)], [*names, "score"])
 
-    schema = ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for c, n in zip(kept, names, strict=True))
+    schema = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names)
     out = rows.mapInArrow(run, f"{schema}, score double")
     return out.select(*[F.col(n).alias(c) for c, n in zip(kept, names, strict=True)], "score")
 
@@ -143,5 +144,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **optio
     no features. An empty table gives no rows; extra columns are ignored.
     """
     weights = train(docs, labels.filter(~held_out(F.col("doc_id"))), **options)
-    scored = score(docs.select("doc_id", "text"), weights)
+    scored = score(docs.select("doc_id", "text"), weights).drop("text")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
