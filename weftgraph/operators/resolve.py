@@ -69,7 +69,7 @@ def resolve_mentions(mentions: DataFrame) -> DataFrame:
     x = mentions.select("doc_id", "text", F.upper("label").alias("label"), fold_words(F.col("text")).alias("folded"), "confidence").filter("folded <> ''")
     surface = x.groupBy("label", "folded", "text").agg(F.count(F.lit(1)).alias("n"))
     best = surface.groupBy("label", "folded").agg(F.min_by("text", F.struct((-F.col("n")).alias("n"), F.length("text"), F.col("text"))).alias("canonical"), F.count(F.lit(1)).alias("n_surfaces"))
-    sums = x.groupBy("label", "folded").agg(F.count(F.lit(1)).alias("mentions"), F.countDistinct("doc_id").alias("documents"), F.round(F.avg("confidence"), 6).alias("mean_confidence"), F.max("confidence").alias("max_confidence"))
+    sums = x.groupBy("label", "folded").agg(F.count(F.lit(1)).alias("mentions"), F.countDistinct("doc_id").alias("documents"), F.round(F.avg("confidence"), 9).alias("mean_confidence"), F.max("confidence").alias("max_confidence"))
     key = F.concat_ws("_", F.lower("label"), F.substring(F.md5(F.concat_ws("|", "label", "folded")), 1, 12))
     return sums.join(best, ["label", "folded"]).withColumn("node_id", key)
 

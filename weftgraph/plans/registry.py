@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import links
+from . import curation, links, texts
 
-PARTS = (links,)
+PARTS = (links, curation, texts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
