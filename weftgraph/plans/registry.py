@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import curation, links, texts
+from . import curation, links, streams, texts
 
-PARTS = (links, curation, texts)
+PARTS = (links, curation, texts, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
