@@ -5,7 +5,8 @@ values are slots. Windows of ``window`` template words of a document are looked
 those of the benchmark by hash. For each document and item the hits are aligned, and the
 slot values of aligned words must be consistent: the same item value always stands for
 the same value of the document. So a question with other numbers is still found, and
-text that only shares a template by chance is not.
+text that only shares a template by chance is not. Names are told by their capitals, so
+both tables are also matched without name placeholders, for texts in other letter case.
 
 The benchmark's windows are broadcast after its size is checked; a larger benchmark is
 joined in parts of bounded size.
@@ -48,8 +49,8 @@ def _in(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
 _UNIT_HASHES, _NUMBER_HASHES = _hash_list(UNITS), _hash_list(_SPELLED)
 
 
-def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(template, value, first): template word and own hash of every word with a core, by text.
+def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(template, plain, value, first): template word, the same without name placeholders, and own hash of every word with a core, by text.
 
     A number is a core of digits, with inner points, commas, colons, slashes, percent or
     currency signs, or a spelled-out number; a unit stands right after a number; a name
@@ -61,11 +62,11 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     doc = words.doc[keep]
     before_end = words.end[keep]
     s, e = s[keep], e[keep]
-    value = textkit.span_hashes(data, s, e, lower=True)
+    value = textkit.span_hashes(textkit.latin_lower(data), s, e)
     first = np.searchsorted(doc, np.arange(len(offsets)))
     template = value.copy()
     if not len(s):
-        return template, value, first
+        return template, template, value, first
     digit = np.concatenate(([0], np.cumsum(textkit.DIGIT[data])))
     plain = np.concatenate(([0], np.cumsum(textkit.DIGIT[data] | textkit.PUNCT[data])))
     number = ((digit[e] > digit[s]) & (plain[e] - plain[s] == e - s)) | _in(_NUMBER_HASHES, value)
@@ -78,8 +79,10 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     unit = np.zeros(len(s), bool)
     unit[1:] = number[:-1] & (doc[1:] == doc[:-1])
     unit &= _in(_UNIT_HASHES, value)
-    template[name], template[number], template[unit] = NAME, NUMBER, UNIT
-    return template, value, first
+    template[number], template[unit] = NUMBER, UNIT
+    plain = template.copy()
+    template[name & ~number & ~unit] = NAME
+    return template, plain, value, first
 
 
 def _windows(template: np.ndarray, k: int) -> np.ndarray:
@@ -95,15 +98,16 @@ def _informative(template: np.ndarray, k: int) -> np.ndarray:
 
 
 class Benchmark:
-    """Template words of every item and a sorted table of its window hashes."""
+    """Template words of every item, with or without name placeholders, and a sorted table of their window hashes."""
 
-    def __init__(self, items: list[tuple], window: int):
-        self.window = window
+    def __init__(self, items: list[tuple], window: int, names: bool = True):
+        self.window, self.names = window, names
         self.ids = [i for i, _ in items]
         hashes, owner, place, self.template, self.value = [], [], [], [], []
         for at, (_, text) in enumerate(items):
             data = np.frombuffer((text or "").encode(), np.uint8)
-            template, value, _ = canonical(data, np.array([0, len(data)]))
+            named, plain, value, _ = canonical(data, np.array([0, len(data)]))
+            template = named if names else plain
             self.template.append(template)
             self.value.append(value)
             h = _windows(template, window)
@@ -194,26 +198,32 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 8, covera
 
 
 def _contained(docs: DataFrame, items: DataFrame, window: int, coverage: float, run: int) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(Benchmark([(r[0], r[1]) for r in items.collect()], window))
+    shared = docs.sparkSession.sparkContext.broadcast([Benchmark(rows_, window, names) for rows_ in [[(r[0], r[1]) for r in items.collect()]] for names in (True, False)])
     doc_kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     item_type = pa.int64() if item_kind in ("bigint", "long") else pa.int32() if item_kind == "int" else pa.string()
 
     def run_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bench = shared.value
+        both = shared.value
         for batch in batches:
             for part, data, offsets in textkit.slices(batch, "text"):
-                template, value, first = canonical(data, offsets)
-                hot = np.zeros(len(offsets) - 1, bool)
-                for k in bench.sizes:  # texts without any window of the benchmark are passed over together
-                    if len(template) >= k and len(bench.hash):
-                        at = np.flatnonzero(_in(bench.hash, textkit.shingles(template, k)))
-                        hot[np.searchsorted(first, at, "right") - 1] = True
-                out = [(i, *f) for i in np.flatnonzero(hot) for f in bench.find(template[first[i] : first[i + 1]], value[first[i] : first[i + 1]], coverage, run)]
+                named, plain, value, first = canonical(data, offsets)
+                best: dict[tuple[int, int], tuple] = {}
+                for bench in both:
+                    template = named if bench.names else plain
+                    hot = np.zeros(len(offsets) - 1, bool)
+                    for k in bench.sizes:  # texts without any window of the benchmark are passed over together
+                        if len(template) >= k and len(bench.hash):
+                            at = np.flatnonzero(_in(bench.hash, textkit.shingles(template, k)))
+                            hot[np.searchsorted(first, at, "right") - 1] = True
+                    for i in np.flatnonzero(hot):
+                        for f in bench.find(template[first[i] : first[i + 1]], value[first[i] : first[i + 1]], coverage, run):
+                            best[i, f[0]] = max(best.get((i, f[0]), ()), f[1:])
+                out = [(i, o, *f) for (i, o), f in best.items()]
                 if out:
                     doc, item, n, share, longest, exact = zip(*out, strict=True)
                     yield pa.RecordBatch.from_arrays(
-                        [part.column(0).take(pa.array(np.array(doc))), pa.array([bench.ids[i] for i in item], item_type), pa.array(n, pa.int64()), pa.array(share, pa.float64()), pa.array(longest, pa.int64()), pa.array(exact, pa.bool_())],
+                        [part.column(0).take(pa.array(np.array(doc))), pa.array([both[0].ids[i] for i in item], item_type), pa.array(n, pa.int64()), pa.array(share, pa.float64()), pa.array(longest, pa.int64()), pa.array(exact, pa.bool_())],
                         ["doc_id", "item_id", "n_words", "coverage", "longest_run", "exact"],
                     )
 

@@ -38,6 +38,15 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def latin_lower(data: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with ASCII and Latin-1 capitals in lower case; lengths stay."""
+    out = LOWER[data]
+    at = np.flatnonzero(data[:-1] == 0xC3) + 1
+    at = at[(data[at] >= 0x80) & (data[at] <= 0x9E) & (data[at] != 0x97)]
+    out[at] += 0x20
+    return out
+
+
 def _powers(n: int) -> np.ndarray:
     out = np.full(max(n, 1), _RADIX, np.uint64)
     out[0] = 1
