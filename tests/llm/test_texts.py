@@ -1,0 +1,182 @@
+"""Token counts, PII, HTML text, toxicity and LM scores: brute force, exact cases, held-out accuracy."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from weftgraph.llm import pii, textkit
+from weftgraph.llm.html_text import html_text, main_text
+from weftgraph.llm.lm_scoring import lm_score
+from weftgraph.llm.shared import ship
+from weftgraph.llm.token_counts import Automaton, token_counts
+from weftgraph.llm.toxicity import toxicity
+
+PIECES = [bytes([b]) for b in range(256)] + [b" a", b"ab", b"abc", b"bca", b" abca", b"cab", b"bcabc", b"\xc3\xa9"]
+
+
+@pytest.fixture(autouse=True)
+def shipped(spark):
+    ship(spark)
+
+
+def greedy(word: bytes) -> list[int]:
+    rank, out, at, data = {p: i for i, p in enumerate(PIECES)}, [], 0, b" " + word
+    while at < len(data):
+        end = next(e for e in range(len(data), at, -1) if data[at:e] in rank)
+        out.append(rank[data[at:end]])
+        at = end
+    return out
+
+
+def split(text):
+    return [w for w in re.split("[ \t-\r]+", text or "") if w]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("abcé", min_size=1, max_size=12), min_size=1, max_size=8))
+def test_automaton_equals_greedy_matching(words):
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    w = textkit.Words(data, np.array([0, len(data)]))
+    machine = Automaton(PIECES)
+    want = [greedy(x.encode()) for x in words]
+    ids, at = machine.pieces(data, w.start, w.end)
+    assert machine.count(data, w.start, w.end).tolist() == [len(x) for x in want]
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == want
+
+
+def test_token_counts_of_odd_texts(spark):
+    texts = ["abca  bcabc x\nabc", "", None, " \t", "a" * 20000 + " é"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, "ab"), (0, texts[0])], "doc_id long, text string").withColumn("n_words", F.lit(1))
+    got = token_counts(docs, PIECES).collect()
+    want = Counter((i, len(split(t)), sum(len(greedy(w.encode())) for w in split(t))) for i, t in [*enumerate(texts), (None, "ab"), (0, texts[0])])
+    assert Counter(map(tuple, got)) == want
+    with pytest.raises(ValueError):
+        Automaton([b"a"])
+
+
+PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def plain_spans(text):
+    out = []
+    for k, (kind, pattern) in enumerate(PATTERNS.items()):
+        for m in re.finditer(pattern, text):
+            d = re.sub("[^0-9]", "", m[0])
+            total = sum(int(c) if i % 2 == 0 else sum(map(int, str(2 * int(c)))) for i, c in enumerate(reversed(d)))
+            good = {"email": True, "ip": all(int(p) <= 255 for p in m[0].split(".")) if kind == "ip" else 0, "card": 14 <= len(d) <= 19 and total % 10 == 0, "phone": 10 <= len(d) <= 15}[kind]
+            if good:
+                out.append((m.start(), k, m.end(), kind))
+    return ",".join(f"{x[3]}:{x[0]}:{x[2]}" for x in sorted(out))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text("a.@-+1 029(é", max_size=60))
+def test_base_spans_equal_the_plain_patterns(text):
+    assert ",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, k, e, _ in pii.base_spans(text)) == plain_spans(text)
+
+
+def test_pii_adds_terms_that_reveal_an_entity_in_several_contexts(spark):
+    rng = random.Random(2)
+    filler = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    docs = [(i, f"{filler(3)} zorblax wrote from jo@x.example.com {filler(3)}") for i in range(4)]
+    docs += [(10 + i, f"{filler(6)} wrote nothing") for i in range(40)] + [(60, "éé 4111 1111 1111 1111 and 10.0.0.1, +1 (555) 123-4567"), (61, None), (62, "")]
+    docs += [(70 + i, "copied quuxly text from al@y.example.org here") for i in range(5)]
+    got = {r["doc_id"]: r for r in pii.find_pii(spark.createDataFrame(docs, "doc_id long, text string").withColumn("spans", F.lit(0))).collect()}
+    for d, text in docs:
+        base = plain_spans(text or "")
+        assert got[d]["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
+        assert [s for s in got[d]["spans"].split(",") if s and not s.startswith("term")] == ([s for s in base.split(",")] if base else [])
+    at = docs[0][1].index("zorblax")
+    assert f"term:{at}:{at + 7}" in got[0]["spans"].split(",")
+    assert got[72]["n_terms"] == 0  # copies are one context
+    assert (got[60]["n_card"], got[60]["n_ip"], got[60]["n_phone"]) == (1, 1, 1)
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert clean[60] == "éé [card] and [ip], [phone]" and "zorblax" not in clean[0] and clean[61] is None and clean[62] == ""
+
+
+PAGE = """<!doctype html><html><head><title>T</title><style>p{}</style></head><body class="has-sidebar"><header><h2>Site name</h2></header><nav><ul><li><a href="/">Home</a><li><a>News</a></ul></nav>
+<div id="content"><h1>A &amp; B</h1><p>First <b>bold</b>text, with commas, and a stop. It goes on for a while, as texts do.<p>Short one.<script>var x = "</p>";</script>
+<div class="cookie-notice">We use cookies, please, accept them all. Thanks.</div><p>Last paragraph, of   several words, which
+end here; indeed.</p></div><div class="sidebar"><p>Other things, here. And there.</p></div><div id="comments"><p>I disagree, strongly, with all of it; more than words, can say. And on, and on.</p></div>
+<form><label>Name</label></form><footer>&copy; 2020</footer></body></html>"""
+
+
+def test_main_text_of_pages(spark):
+    want = "A & B First boldtext, with commas, and a stop. It goes on for a while, as texts do. Short one. Last paragraph, of several words, which end here; indeed."
+    assert main_text(PAGE) == want
+    assert main_text(None) == main_text("") == main_text("<div><script>x</script></div>") == ""
+    assert main_text("just text & more") == "just text & more"
+    rows = spark.createDataFrame([(1, "u", PAGE), (None, None, None)], "page_id long, url string, html string").withColumn("text", F.lit(5))
+    got = {r["page_id"]: r for r in html_text(rows).collect()}
+    assert got[1]["text"] == want and got[1]["n_chars"] == len(want) and (got[None]["text"], got[None]["n_chars"]) == ("", 0)
+
+
+def test_toxicity_separates_held_out_documents(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(3))
+    docs, labels = [], []
+    for i in range(700):
+        bad = i % 4 == 0
+        w = [word() for _ in range(40)]
+        if bad:
+            w[rng.randrange(40)] = rng.choice(["Idiotx!", "scumx", "moronx,"])
+        docs.append((i, " ".join(w)))
+        labels.append((i, int(bad)))
+    docs += [(9001, None), (9002, ""), (None, "scumx"), (9003, "scumx " * 5000)]
+    labels += [(9001, None), (None, 1)]
+    df, lab = spark.createDataFrame(docs, "doc_id long, text string").withColumn("score", F.lit("x")), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = {r["doc_id"]: r for r in toxicity(df, lab).collect()}
+    truth = dict(labels)
+    held = [i for i in range(700) if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert all(got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) for i in range(700))
+    pos, neg = [got[i]["score"] for i in held if truth[i]], [got[i]["score"] for i in held if not truth[i]]
+    assert np.mean([[p > n for n in neg] for p in pos]) > 0.95 and got[9001]["score"] == got[9002]["score"] and all(0 <= r["score"] <= 1 for r in got.values())
+    none = toxicity(df, lab.filter("1 = 0")).first()
+    assert none["score"] == 0.5
+
+
+def test_lm_scores(spark):
+    rng = random.Random(6)
+    words = ["the", "cat", "sat", "on", "a", "mat", "and", "ran"]
+    docs = [(i, " ".join(rng.choice(words) if rng.random() < 0.9 else "".join(rng.choice("xyz") for _ in range(6)) for _ in range(rng.randrange(5, 60)))) for i in range(150)]
+    docs += [(1000, None), (1001, ""), (1002, "The THE É"), (None, "the cat"), (1003, "q" * 5000), (7, docs[7][1])]
+    got = lm_score(spark.createDataFrame(docs, "doc_id long, text string").withColumn("score", F.lit(1)), PIECES, head=4, sample=100).collect()
+    token = lambda t: [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in split(t)]
+    out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
+    counts, n = Counter(), 0
+    for i, t in docs:
+        if not out(i):
+            counts.update(token(t))
+            n += 1
+    total, kinds = sum(counts.values()) + n, len(counts) + 1
+    p = lambda c: math.log10((c + 0.5) / (total + 0.5 * (kinds + 1)))
+    want = Counter((str(i), out(i), len(token(t)) + 1, sum(w in counts for w in token(t)) + 1, total, round(sum(p(counts[w]) for w in token(t)) + p(n), 6)) for i, t in docs)
+    assert Counter((str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == want
+    assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in got)
+    held = [r for r in got if r["held_out"] and r["n_tokens"] > 3]
+    assert sum(r["score"] for r in held) > 1.3 * sum(r["base_score"] for r in held)
+
+
+def test_attention_scores_are_a_distribution():
+    from weftgraph.llm.attention import AttentionLM
+
+    rng = np.random.default_rng(1)
+    seqs = [rng.integers(0, 6, n) for n in (3, 40, 9, 1, 25)]
+    off = np.concatenate(([0], np.cumsum([len(s) for s in seqs])))
+    m = AttentionLM(6, 8, 3, dim=4, rows=16, own=3, clusters=2).fit(np.concatenate(seqs).astype(np.int32), off, steps=20)
+    m.inside(np.arange(6.0))
+    ctx = np.array([2, 5, 1, 4], np.int32)
+    total = sum(10 ** (m.log10(np.append(ctx, t).astype(np.int32), np.array([0, 5]))[0] - m.log10(ctx, np.array([0, 4]))[0]) for t in range(6))
+    assert total == pytest.approx(1, abs=1e-3)
+    both = m.log10(np.concatenate(seqs).astype(np.int32), off)
+    alone = [m.log10(s.astype(np.int32), np.array([0, len(s)]))[0] for s in seqs]
+    assert np.allclose(both, alone, atol=1e-3)
