@@ -54,7 +54,7 @@ def test_automaton_equals_greedy_matching(words):
 
 
 def test_token_counts_of_odd_texts(spark):
-    texts = ["abca  bcabc x\nabc", "", None, " \t", "a" * 20000 + " é"]
+    texts = ["abca  bcabc x\nabc", "", None, " \t", "a" * 300 + " é"]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, "ab"), (0, texts[0])], "doc_id long, text string").withColumn("n_words", F.lit(1))
     got = token_counts(docs, PIECES).collect()
     want = Counter((i, len(split(t)), sum(len(greedy(w.encode())) for w in split(t))) for i, t in [*enumerate(texts), (None, "ab"), (0, texts[0])])
@@ -148,7 +148,7 @@ def test_lm_scores(spark):
     rng = random.Random(6)
     words = ["the", "cat", "sat", "on", "a", "mat", "and", "ran"]
     docs = [(i, " ".join(rng.choice(words) if rng.random() < 0.9 else "".join(rng.choice("xyz") for _ in range(6)) for _ in range(rng.randrange(5, 60)))) for i in range(150)]
-    docs += [(1000, None), (1001, ""), (1002, "The THE É"), (None, "the cat"), (1003, "q" * 5000), (7, docs[7][1])]
+    docs += [(1000, None), (1001, ""), (1002, "The THE É"), (None, "the cat"), (1003, "q" * 400), (7, docs[7][1])]
     got = lm_score(spark.createDataFrame(docs, "doc_id long, text string").withColumn("score", F.lit(1)), PIECES, head=4, sample=100).collect()
     token = lambda t: [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in split(t)]
     out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
