@@ -103,6 +103,19 @@ def test_pii_adds_terms_that_reveal_an_entity_in_several_contexts(spark):
     assert clean[60] == "éé [card] and [ip], [phone]" and "zorblax" not in clean[0] and clean[61] is None and clean[62] == ""
 
 
+def test_pii_counts_terms_over_whole_documents(spark):
+    far = "and so it went on, as it does. " * 30  # beyond 400 characters and 8 words of the mention
+    docs = [(1, f"Zorblax here. {far} mail to jo@x.example.com {far} again zorblax"), (2, "the Zorblax, elsewhere"), (3, "copied quuxly al@y.example.org"), (4, "copied quuxly al@y.example.org")]
+    docs += [(10 + i, f"{far} nothing {i}") for i in range(60)]
+    got = {r["doc_id"]: r for r in pii.find_pii(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    text = docs[0][1]
+    want = [f"term:{m.start()}:{m.end()}" for m in re.finditer("zorblax", text, re.I)]
+    assert [s for s in got[1]["spans"].split(",") if s.startswith("term")] == want and len(want) == 2 == got[1]["n_terms"]
+    # the value is in one text only, so 1 - log(2) / log(63 texts) = 0.83 of it is given away
+    assert [c["action"] for c in got[1]["cuts"] if c["kind"] == "term"] == ["remove"] * 2
+    assert got[2]["n_terms"] == got[3]["n_terms"] == got[4]["n_terms"] == 0
+
+
 PAGE = """<!doctype html><html><head><title>T</title><style>p{}</style></head><body class="has-sidebar"><header><h2>Site name</h2></header><nav><ul><li><a href="/">Home</a><li><a>News</a></ul></nav>
 <div id="content"><h1>A &amp; B</h1><p>First <b>bold</b>text, with commas, and a stop. It goes on for a while, as texts do.<p>Short one.<script>var x = "</p>";</script>
 <div class="cookie-notice">We use cookies, please, accept them all. Thanks.</div><p>Last paragraph, of   several words, which

@@ -1,13 +1,14 @@
 """Personal data: base patterns, and terms that reveal a protected entity.
 
 Base spans are e-mail addresses, IP addresses, card and phone numbers. Each distinct value
-is a protected entity. The words near its mentions are its context terms; over the whole
-corpus, documents that hold the term, the entity, or both near each other are counted.
-With p the shares of documents, a term's disclosure of an entity is
+is a protected entity. The words of the documents that hold it, outside any span, are its
+terms; over the whole corpus, texts that hold the term, the entity, or both are counted.
+With p the shares of texts, a term's disclosure of an entity is
 PMI(term, entity) / IC(entity) = log(p(t, e) / (p(t) p(e))) / -log p(e): the part of the
-information of the entity that the term gives away. A term is found sensitive only if it
-meets the entity in several different contexts, so that copies of a text don't count as
-evidence. Terms from ``remove`` on are removed, those from ``generalise`` on generalised.
+information of the entity that the term gives away. Equal texts count once, and a term
+must be in several different texts, so that copies of a text don't count as evidence.
+A pair that meets in one text only must reach ``remove``.
+Terms from ``remove`` on are removed, those from ``generalise`` on generalised.
 """
 
 from __future__ import annotations
@@ -76,21 +77,20 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(out)
 
 
-def _contexts(text: str, spans: list[tuple[int, int, int, str]], words: int, reach: int = 400) -> list[tuple[int, int, int, int, int]]:
-    """(entity, context, term, start, end) of the words near each span; words inside any span don't count."""
-    out = []
-    taken = [(s, e) for s, _, e, _ in spans]
-    for s, kind, e, value in spans:
-        entity = _key(f"{kind}:{value}")
-        left = [m for m in _WORD.finditer(text, max(0, s - reach), s)][-words:]
-        right = []
-        for m in _WORD.finditer(text, e, min(len(text), e + reach)):
-            right.append(m)
-            if len(right) == words:
-                break
-        near = [m for m in left + right if all(m.end() <= a or m.start() >= b for a, b in taken)]
-        context = _key(" ".join(m[0].lower() for m in near))
-        out += [(entity, context, _key(m[0].lower()), m.start(), m.end()) for m in near]
+def _terms(text: str, spans: list[tuple[int, int, int, str]], keys: dict[str, int]) -> list[tuple[int, int, int]]:
+    """(term, start, end) of every word of a text that has spans; words that touch any span don't count."""
+    out, at, reach = [], 0, 0
+    for m in _WORD.finditer(text):
+        while at < len(spans) and spans[at][0] < m.end():
+            reach = max(reach, spans[at][2])
+            at += 1
+        if m.start() >= reach:
+            word = m[0].lower()
+            if (key := keys.get(word)) is None:
+                if len(keys) > 1 << 18:
+                    keys.clear()
+                key = keys[word] = _key(word)
+            out.append((key, m.start(), m.end()))
     return out
 
 
@@ -98,19 +98,21 @@ def _key(value: str) -> int:
     return int.from_bytes(hashlib.blake2b(value.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def _scan(docs: DataFrame, words: int) -> DataFrame:
-    """Base spans and contexts of every row: (doc_id, dh, n_email .. n_phone, base, sha, near)."""
+def _scan(docs: DataFrame) -> DataFrame:
+    """Base spans, entities and terms of every row: (doc_id, dh, th, n_email .. n_phone, base, sha, entities, words)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("dh"), F.col("text").cast("string").alias("text"))
+    text_ = F.col("text").cast("string")
+    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("dh"), F.xxhash64(text_).alias("th"), text_.alias("text"))
     base_type = pa.list_(pa.struct([("s", pa.int32()), ("k", pa.int32()), ("e", pa.int32())]))
-    near_type = pa.list_(pa.struct([("entity", pa.int64()), ("context", pa.int64()), ("term", pa.int64()), ("s", pa.int32()), ("e", pa.int32())]))
+    words_type = pa.list_(pa.struct([("term", pa.int64()), ("s", pa.int32()), ("e", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: dict[str, int] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                counts, base, sha, near = [], [], [], []
-                for value in part.column(2):
+                counts, base, sha, entities, words = [], [], [], [], []
+                for value in part.column(3):
                     text = value.as_py() or ""
                     spans = base_spans(text)
                     n = [0, 0, 0, 0]
@@ -119,82 +121,108 @@ def _scan(docs: DataFrame, words: int) -> DataFrame:
                     counts.append(n)
                     base.append([{"s": s, "k": k, "e": e} for s, k, e, _ in spans])
                     sha.append(hashlib.sha256(",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e, _ in spans).encode()).hexdigest())
-                    near.append([dict(zip(("entity", "context", "term", "s", "e"), x, strict=True)) for x in (_contexts(text, spans, words) if spans else ())])
+                    entities.append(sorted({_key(f"{k}:{v}") for _, k, _, v in spans}))
+                    words.append([dict(zip(("term", "s", "e"), x, strict=True)) for x in (_terms(text, spans, keys) if spans else ())])
                 n = np.array(counts, np.int64).reshape(-1, 4)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.array(n[:, i]) for i in range(4)], pa.array(base, base_type), pa.array(sha), pa.array(near, near_type)], ["doc_id", "dh", "n_email", "n_ip", "n_card", "n_phone", "base", "base_sha256", "near"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), part.column(2), *[pa.array(n[:, i]) for i in range(4)], pa.array(base, base_type), pa.array(sha), pa.array(entities, pa.list_(pa.int64())), pa.array(words, words_type)],
+                    ["doc_id", "dh", "th", "n_email", "n_ip", "n_card", "n_phone", "base", "base_sha256", "entities", "words"],
+                )
 
-    spans = "base array<struct<s:int,k:int,e:int>>, base_sha256 string, near array<struct<entity:bigint,context:bigint,term:bigint,s:int,e:int>>"
-    return rows.mapInArrow(run, f"doc_id {kind}, dh long, n_email long, n_ip long, n_card long, n_phone long, {spans}")
+    spans = "base array<struct<s:int,k:int,e:int>>, base_sha256 string, entities array<bigint>, words array<struct<term:bigint,s:int,e:int>>"
+    return rows.mapInArrow(run, f"doc_id {kind}, dh long, th long, n_email long, n_ip long, n_card long, n_phone long, {spans}")
 
 
-def _term_documents(docs: DataFrame, terms: DataFrame, limit: int) -> DataFrame:
-    """(term, n_t): documents that hold each of ``terms``, counted over every whole text.
+def _term_texts(docs: DataFrame, copies: DataFrame, terms: DataFrame, limit: int) -> DataFrame:
+    """(term, n_t): different texts that hold each of ``terms``, counted over every whole text.
 
-    Up to ``limit`` terms are broadcast as hashes; with more, all words' counts are shuffled and joined.
+    ``copies`` has (th, m), the texts that m > 1 rows share; each of them counts 1 / m. Up to
+    ``limit`` terms and copies are broadcast as hashes; with more they are joined.
     """
     n = terms.count()
-    wanted = np.sort(np.array([r[0] for r in terms.collect()], np.int64)) if n <= limit else None
-    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+    wanted = terms.toArrow()["term"].to_numpy() if n <= limit else None
+    text = F.col("text").cast("string")
+    rows = docs.select(text.alias("text"), F.xxhash64(text).alias("th")).filter("text IS NOT NULL")
+    if copies.count() <= limit:
+        x = copies.toArrow()
+        times = dict(zip(x["th"].to_pylist(), x["m"].to_pylist(), strict=True))
+        rows = rows.withColumn("m", F.lit(None).cast("long"))
+    else:
+        times = {}
+        rows = rows.join(copies, "th", "left").select("text", "th", "m")
+    shared = docs.sparkSession.sparkContext.broadcast((wanted, times))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only = shared.value
+        only, m = shared.value
         only = None if only is None else set(only.tolist())
         known: dict[str, int] = {}
         for batch in batches:
-            counts: dict[int, int] = {}
-            for value in batch.column(0):
-                for word in {m.lower() for m in _WORD.findall(value.as_py() or "")}:
+            counts: dict[int, float] = {}
+            for value, th, joined in zip(batch.column("text"), batch.column("th").to_pylist(), batch.column("m").to_pylist(), strict=True):
+                share = 1.0 / (joined or m.get(th, 1))
+                for word in {w.lower() for w in _WORD.findall(value.as_py())}:
                     if (key := known.get(word)) is None:
                         if len(known) > 1 << 20:
                             known.clear()
                         key = known[word] = _key(word)
                     if only is None or key in only:
-                        counts[key] = counts.get(key, 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
+                        counts[key] = counts.get(key, 0.0) + share
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.float64())], ["term", "n"])
 
-    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
+    counted = rows.mapInArrow(run, "term long, n double").groupBy("term").agg(F.round(F.sum("n")).cast("long").alias("n_t"))
     return counted if wanted is not None else counted.join(terms, "term")
 
 
-def disclosing_terms(scan: DataFrame, docs: DataFrame, generalise: float, remove: float, contexts: int, limit: int = 1 << 20) -> DataFrame | None:
-    """(entity, term, disclosure, action) of the terms above the threshold; None if no pair has enough contexts."""
-    near = scan.filter(F.size("near") > 0).select("doc_id", "dh", F.explode("near").alias("x")).select("doc_id", "dh", "x.entity", "x.context", "x.term")
-    seen = near.groupBy("entity", "term", "context").agg(F.count(F.lit(1)).alias("_")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_contexts")).filter(F.col("n_contexts") >= contexts)
-    seen = checkpointed(seen.select("entity", "term"))
-    terms = checkpointed(seen.select("term").distinct())
-    if terms.isEmpty():
+def disclosing_terms(scan: DataFrame, docs: DataFrame, generalise: float, remove: float, texts: int, limit: int = 1 << 20) -> DataFrame | None:
+    """(th, term, action): terms above the threshold for an entity of that text; None without entities."""
+    held = scan.filter(F.size("entities") > 0).select("th", "entities", F.array_distinct(F.transform("words", lambda x: x["term"])).alias("terms")).dropDuplicates(["th"])
+    held = checkpointed(held)
+    n_e = checkpointed(held.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")))
+    most = n_e.agg(F.max("n_e")).first()[0]
+    if most is None:
         return None
-    total = docs.count()
-    held = near.select("doc_id", "dh", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    both = near.join(seen, ["entity", "term"]).select("doc_id", "dh", "entity", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et"))
-    rows = both.join(held, "entity").join(_term_documents(docs, terms, limit), "term")
+    rows = scan.groupBy("th").agg(F.count(F.lit(1)).alias("m"))
+    total = rows.count()
+    terms = checkpointed(held.select(F.explode("terms").alias("term")).distinct())
+    n_t = _term_texts(docs, checkpointed(rows.filter("m > 1")), terms, limit)
+    # as n_et <= n_e, no term in more texts than this reaches the threshold for any entity
+    bound = max(total ** (1 - generalise) * most**generalise, total ** (1 - generalise)) * (1 + 1e-9)
+    n_t = checkpointed(n_t.filter(F.col("n_t").between(texts, bound)))
+    some = F.broadcast(n_t) if n_t.count() <= limit else n_t
+    pairs = held.select("th", "entities", F.explode("terms").alias("term")).join(some, "term").select("th", "term", "n_t", F.explode("entities").alias("entity"))
+    pairs = checkpointed(pairs)
+    found = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et"), F.first("n_t").alias("n_t")).join(n_e, "entity")
     ic = F.log(F.lit(float(total)) / F.col("n_e"))
     pmi = F.log(F.col("n_et") * F.lit(float(total)) / (F.col("n_t") * F.col("n_e")))
-    rows = rows.withColumn("disclosure", F.when(ic > 0, pmi / ic).otherwise(0.0)).filter(F.col("disclosure") >= generalise)
-    return checkpointed(rows.select("entity", "term", "disclosure", F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise").alias("action")))
+    found = found.withColumn("disclosure", F.when(ic > 0, pmi / ic).otherwise(0.0))
+    # a meeting in one text may be chance: it counts if the term gives away nearly all
+    found = found.filter((F.col("disclosure") >= generalise) & ((F.col("n_et") > 1) | (F.col("disclosure") >= remove)))
+    found = found.select("entity", "term", F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise").alias("action"))
+    return pairs.join(found, ["entity", "term"]).groupBy("th", "term").agg(F.max("action").alias("action"))
 
 
-def find_pii(docs: DataFrame, words: int = 8, generalise: float = 0.5, remove: float = 0.8, contexts: int = 3) -> DataFrame:
+def find_pii(docs: DataFrame, generalise: float = 0.5, remove: float = 0.8, texts: int = 2) -> DataFrame:
     """Base spans and spans of disclosing terms of every document.
 
     Returns doc_id, n_email, n_ip, n_card, n_phone (long), base_sha256, spans (string),
     n_terms (long) and cuts (array of (s, e, kind, action)), one row per input row. Offsets
     are in code points, ends exclusive. A null text is empty and has no spans; null ids stay
-    null; rows alike in id and text count as one document in the statistics and all get
-    the same spans. Other columns are ignored. A term's spans are those near mentions of the entity.
+    null; rows alike in text count as one text in the statistics and all get the same
+    spans. Other columns are ignored. A term must be in ``texts`` different texts; its spans
+    are all its occurrences in the documents that hold the entity.
     """
-    scan = stored(_scan(docs, words))
-    found = disclosing_terms(scan, docs, generalise, remove, contexts)
+    scan = stored(_scan(docs))
+    found = disclosing_terms(scan, docs, generalise, remove, texts)
     base = F.transform("base", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), F.element_at(F.array(*[F.lit(k) for k in KINDS]), x["k"] + 1).alias("kind"), F.lit("remove").alias("action")))
     empty = F.expr("CAST(array() AS array<struct<s:int,k:int,e:int,kind:string,action:string>>)")
     if found is None:
         rows = scan.withColumn("added", empty)
     else:
-        hits = scan.filter(F.size("near") > 0).select("doc_id", "dh", F.explode("near").alias("x")).select("doc_id", "dh", "x.*").join(found, ["entity", "term"])
-        hits = hits.groupBy("doc_id", "dh", "s", "e").agg(F.max("action").alias("action"))
-        hits = hits.groupBy("doc_id", "dh").agg(F.collect_list(F.struct("s", F.lit(len(KINDS)).alias("k"), "e", F.lit(TERM).alias("kind"), "action")).alias("added"))
-        hits = hits.select(F.col("doc_id").alias("_id"), F.col("dh").alias("_dh"), "added")
-        rows = scan.join(hits, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("dh") == F.col("_dh")), "left").withColumn("added", F.coalesce("added", empty))
+        holds = F.size("entities") > 0
+        hits = scan.filter(holds).dropDuplicates(["th"]).select("th", F.explode("words").alias("x")).select("th", "x.*").join(found, ["th", "term"])
+        hits = hits.groupBy("th").agg(F.collect_list(F.struct("s", F.lit(len(KINDS)).alias("k"), "e", F.lit(TERM).alias("kind"), "action")).alias("added"))
+        rows = scan.filter(holds).join(hits, "th", "left").withColumn("added", F.coalesce("added", empty))
+        rows = rows.unionByName(scan.filter(~holds).withColumn("added", empty))
     rows = rows.withColumn("cuts", F.sort_array(F.concat(base, "added")))
     text = F.array_join(F.transform("cuts", lambda x: F.concat_ws(":", x["kind"], x["s"].cast("string"), x["e"].cast("string"))), ",")
     cuts = F.transform("cuts", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"), x["action"].alias("action")))
