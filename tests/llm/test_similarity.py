@@ -123,6 +123,14 @@ def test_decontamination_finds_verbatim_and_reparameterised_items_only(spark):
     assert [g[:2] for g in got] == [(0, 1), (1, 1), (5, 1)] and got[0][2] and not got[1][2]
 
 
+def test_decontamination_of_items_rich_in_numbers(spark):
+    row = "12 kg 30 km 7 miles 45 seconds 19 pounds 3 liters 88 hours 5 days 64 years"
+    half = "Compute the total of these values for me please: 3 kg 4 km 5 kg 6 km 7 kg 8 km 9 kg 10 km"
+    other = half.replace("3 kg", "33 kg").replace("8 km", "81 km")
+    got = found(spark, f"Data: {row} end.", f"Now {half}. Done", f"Now {other}. Done", row.replace("1", "2").replace("3", "4"), items=((1, row), (2, half)))
+    assert got == [(0, 1, True), (1, 2, True), (2, 2, False)]
+
+
 def test_decontamination_in_parts_short_items_and_nothing(spark):
     items = [(1, ITEM), (2, "a short item"), (3, None), (4, ""), (5, "a short item")]
     text = "here is A short, item indeed. " + ITEM

@@ -6,7 +6,8 @@ those of the benchmark by hash. For each document and item the hits are aligned,
 slot values of aligned words must be consistent: the same item value always stands for
 the same value of the document. So a question with other numbers is still found, and
 text that only shares a template by chance is not. Names are told by their capitals, so
-both tables are also matched without name placeholders, for texts in other letter case.
+both tables are also matched without name placeholders, for texts in other letter case,
+and by their literal words, for items made of numbers and units.
 
 The benchmark's windows are broadcast after its size is checked; a larger benchmark is
 joined in parts of bounded size.
@@ -89,29 +90,49 @@ def _windows(template: np.ndarray, k: int) -> np.ndarray:
     return textkit.shingles(template, k)
 
 
+def _slots(template: np.ndarray) -> np.ndarray:
+    return (template == NUMBER) | (template == NAME) | (template == UNIT)
+
+
 def _informative(template: np.ndarray, k: int) -> np.ndarray:
     """Windows with at least half ordinary words; others would match on placeholders alone."""
-    slot = (template == NUMBER) | (template == NAME) | (template == UNIT)
+    slot = _slots(template)
     total = np.concatenate(([0], np.cumsum(slot)))
     k = min(k, len(template))
     return (total[k:] - total[: len(total) - k]) * 2 <= k
 
 
+def _runs(item: np.ndarray, text: np.ndarray, shift: int, least: int) -> np.ndarray:
+    """Places of the item, in runs of ``least`` or more, whose words the text has at that shift."""
+    lo, hi = max(0, -shift), min(len(item), len(text) - shift)
+    equal = np.zeros(len(item) + 2, np.int8)
+    equal[lo + 1 : hi + 1] = item[lo:hi] == text[lo + shift : hi + shift]
+    edge = np.diff(equal)
+    begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    long = end - begin >= least
+    return np.concatenate([np.zeros(0, np.int64), *[np.arange(b, e) for b, e in zip(begin[long], end[long], strict=True)]])
+
+
 class Benchmark:
-    """Template words of every item, with or without name placeholders, and a sorted table of their window hashes."""
+    """Template words of every item and a sorted table of their window hashes.
+
+    With names, numbers, units and names are placeholders; without, only numbers and units.
+    A literal table has no placeholders, and all windows: it finds exact copies of items
+    whose windows are mostly placeholders.
+    """
 
-    def __init__(self, items: list[tuple], window: int, names: bool = True):
-        self.window, self.names = window, names
+    def __init__(self, items: list[tuple], window: int, names: bool = True, literal: bool = False):
+        self.window, self.names, self.literal = window, names, literal
         self.ids = [i for i, _ in items]
         hashes, owner, place, self.template, self.value = [], [], [], [], []
         for at, (_, text) in enumerate(items):
             data = np.frombuffer((text or "").encode(), np.uint8)
             named, plain, value, _ = canonical(data, np.array([0, len(data)]))
-            template = named if names else plain
+            template = value if literal else named if names else plain
             self.template.append(template)
             self.value.append(value)
             h = _windows(template, window)
-            good = _informative(template, window) if len(h) else np.zeros(0, bool)
+            good = np.ones(len(h), bool) if literal or not len(h) else _informative(template, window)
             hashes.append(h[good])
             owner.append(np.full(good.sum(), at))
             place.append(np.flatnonzero(good))
@@ -119,7 +140,6 @@ class Benchmark:
         order = np.lexsort((p, o, h))
         self.hash, self.owner, self.place = h[order], o[order], p[order]
         self.sizes = sorted({min(window, len(t)) for t in self.template if len(t)})
-        self.possible = np.bincount(o.astype(int), minlength=len(items)) if len(items) else np.zeros(0, int)
 
     def find(self, template: np.ndarray, value: np.ndarray, coverage: float, run: int) -> list[tuple[int, int, float, int, bool]]:
         """(item, template words matched, coverage, longest run, exact) of the items found in one text."""
@@ -149,15 +169,11 @@ class Benchmark:
             best = None
             shift = at[mine] - place[mine]
             for diagonal in np.unique(shift):  # an alignment of the item with the text
-                p = np.unique(place[mine][shift == diagonal])
-                mark = np.zeros(len(self.template[o]) + 1, np.int64)
-                w = int(width[mine][0])
-                np.add.at(mark, p, 1)
-                np.add.at(mark, p + w, -1)
-                covered = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
+                # windows without an index entry count as well where their template words agree
+                covered = _runs(self.template[o], template, int(diagonal), int(width[mine][0]))
                 ours, theirs = self.value[o][covered], value[covered + diagonal]
                 slots = self.template[o][covered]
-                slots = (slots == NUMBER) | (slots == NAME) | (slots == UNIT)
+                slots = _slots(slots)
                 pairs = np.unique(np.stack([ours[slots], theirs[slots]]), axis=1)
                 consistent = len(np.unique(pairs[0])) == pairs.shape[1]
                 if not consistent:
@@ -198,7 +214,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 8, covera
 
 
 def _contained(docs: DataFrame, items: DataFrame, window: int, coverage: float, run: int) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast([Benchmark(rows_, window, names) for rows_ in [[(r[0], r[1]) for r in items.collect()]] for names in (True, False)])
+    shared = docs.sparkSession.sparkContext.broadcast([Benchmark(rows_, window, names, literal) for rows_ in [[(r[0], r[1]) for r in items.collect()]] for names, literal in ((True, False), (False, False), (False, True))])
     doc_kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     item_type = pa.int64() if item_kind in ("bigint", "long") else pa.int32() if item_kind == "int" else pa.string()
@@ -210,7 +226,7 @@ def _contained(docs: DataFrame, items: DataFrame, window: int, coverage: float,
                 named, plain, value, first = canonical(data, offsets)
                 best: dict[tuple[int, int], tuple] = {}
                 for bench in both:
-                    template = named if bench.names else plain
+                    template = value if bench.literal else named if bench.names else plain
                     hot = np.zeros(len(offsets) - 1, bool)
                     for k in bench.sizes:  # texts without any window of the benchmark are passed over together
                         if len(template) >= k and len(bench.hash):
