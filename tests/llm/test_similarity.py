@@ -131,6 +131,20 @@ def test_decontamination_of_items_rich_in_numbers(spark):
     assert got == [(0, 1, True), (1, 2, True), (2, 2, False)]
 
 
+def test_decontamination_of_shifted_and_partly_inconsistent_copies(spark):
+    item = "every morning the old baker walks slowly across the bridge to buy fresh white flour"
+    words = item.split()
+    added, left = " ".join(words[:7] + ["quite"] + words[7:]), " ".join(words[:6] + words[7:])
+    trip = "On Monday the train from Paris reaches the coast after 25 stops and then returns to Paris by night"
+    longer = trip.replace("Paris", "New York").replace("25", "twenty five")
+    sums = "if a box holds 4 pens and a bag holds 4 pens then how many are there"
+    differ = sums.replace("bag holds 4", "bag holds 9").replace("box holds 4", "box holds 7")
+    chance = "the old baker walks home and then all of us go across the bridge to the other side"
+    got = found(spark, added, left, longer, differ, chance, items=((1, item), (2, trip), (3, sums)))
+    assert [g[:2] for g in got] == [(0, 1), (1, 1), (2, 2), (3, 3)]
+    assert not any(g[2] for g in got)
+
+
 def test_decontamination_in_parts_short_items_and_nothing(spark):
     items = [(1, ITEM), (2, "a short item"), (3, None), (4, ""), (5, "a short item")]
     text = "here is A short, item indeed. " + ITEM

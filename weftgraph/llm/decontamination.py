@@ -2,9 +2,10 @@
 
 Words become lower-case cores; numbers, names and units become typed placeholders whose
 values are slots. Windows of ``window`` template words of a document are looked up among
-those of the benchmark by hash. For each document and item the hits are aligned, and the
-slot values of aligned words must be consistent: the same item value always stands for
-the same value of the document. So a question with other numbers is still found, and
+those of the benchmark by hash. For each document and item the hits are aligned, over
+neighbouring shifts where words were added or left out, and the slot values of aligned
+words must be consistent: a slot whose item value stands for another value elsewhere
+doesn't count. Successive placeholders of one kind are one slot. So a question with other numbers is still found, and
 text that only shares a template by chance is not. Names are told by their capitals, so
 both tables are also matched without name placeholders, for texts in other letter case,
 and by their literal words, for items made of numbers and units.
@@ -86,6 +87,19 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return template, plain, value, first
 
 
+def merged(template: np.ndarray, value: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(template, value, first) with successive placeholders of one kind as one slot, so that values may change their word count."""
+    if not len(template):
+        return template, value, first
+    start = np.ones(len(template), bool)
+    start[1:] = (template[1:] != template[:-1]) | ~_slots(template[1:])
+    start[first[first < len(start)]] = True
+    at = np.flatnonzero(start)
+    within = np.arange(len(start)) - at[np.cumsum(start) - 1]
+    value = np.where(within > 0, textkit.mix(value + within.astype(np.uint64)), value)
+    return template[at], np.add.reduceat(value, at), np.concatenate(([0], np.cumsum(start)))[first]
+
+
 def _windows(template: np.ndarray, k: int) -> np.ndarray:
     return textkit.shingles(template, k)
 
@@ -102,15 +116,72 @@ def _informative(template: np.ndarray, k: int) -> np.ndarray:
     return (total[k:] - total[: len(total) - k]) * 2 <= k
 
 
-def _runs(item: np.ndarray, text: np.ndarray, shift: int, least: int) -> np.ndarray:
-    """Places of the item, in runs of ``least`` or more, whose words the text has at that shift."""
+#: How many words two neighbouring pieces of an alignment may be shifted, and the words of a piece between indexed ones.
+SHIFTS, PIECE = 4, 3
+
+
+def _runs(item: np.ndarray, text: np.ndarray, shift: int, least: int) -> list[tuple[int, int, int]]:
+    """(shift, begin, end) of the runs of ``least`` or more words of the item that the text has at that shift."""
     lo, hi = max(0, -shift), min(len(item), len(text) - shift)
+    if hi - lo < least:
+        return []
     equal = np.zeros(len(item) + 2, np.int8)
     equal[lo + 1 : hi + 1] = item[lo:hi] == text[lo + shift : hi + shift]
     edge = np.diff(equal)
     begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    long = end - begin >= least
-    return np.concatenate([np.zeros(0, np.int64), *[np.arange(b, e) for b, e in zip(begin[long], end[long], strict=True)]])
+    return [(shift, int(b), int(e)) for b, e in zip(begin, end, strict=True) if e - b >= least]
+
+
+def _chains(item: np.ndarray, text: np.ndarray, anchors: np.ndarray, window: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places of the item, their shifts) of alignments: runs in ascending order of item and text.
+
+    Windows without an index entry count where they agree. Runs on up to SHIFTS neighbouring
+    shifts are chained, from PIECE words on where an anchor, a shift with an indexed window, is near.
+    """
+    least = min(PIECE, window)
+    near = np.unique(anchors[:, None] + np.arange(-SHIFTS, SHIFTS + 1)) if len(item) > window else anchors
+    groups = np.split(near, np.flatnonzero(np.diff(near) > 1) + 1)
+    for group in groups:
+        runs = sorted((r for d in group for r in _runs(item, text, int(d), least)), key=lambda r: (r[1] + r[0], r[1], r[0]))
+        best: list[tuple[int, bool, int, int]] = []  # words, whether a window is among them, run before, begin
+        for k, (d, b, e) in enumerate(runs):
+            top = (e - b, e - b >= window, -1, b)
+            for j in range(k - 1, -1, -1):
+                d0, b0, e0 = runs[j]
+                if b0 + d0 < b + d - len(item) - SHIFTS:
+                    break
+                if abs(d - d0) > SHIFTS or b0 >= b and d >= d0:
+                    continue
+                start = max(b, e0, e0 + d0 - d)  # words that both runs hold stay with the first
+                if e - start > 0 and best[j][3] < e0:
+                    top = max(top, (best[j][0] + e - start, best[j][1] or e - b >= window, j, start))
+            best.append(top)
+        used: set[int] = set()
+        for k in sorted(range(len(runs)), key=lambda k: best[k], reverse=True):
+            if k in used or not best[k][1]:
+                continue
+            places, shifts, at = [], [], k
+            while at >= 0:
+                used.add(at)
+                d, _, e = runs[at]
+                places.append(np.arange(best[at][3], e))
+                shifts.append(np.full(e - best[at][3], d))
+                at = best[at][2]
+            yield np.concatenate(places[::-1]), np.concatenate(shifts[::-1])
+
+
+def _consistent(ours: np.ndarray, theirs: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """Which words to keep: all but the slots whose item value stands for another value more often."""
+    keep = np.ones(len(ours), bool)
+    if slots.any():
+        pairs, back, n = np.unique(np.stack([ours[slots], theirs[slots]]), axis=1, return_inverse=True, return_counts=True)
+        order = np.lexsort((-n, pairs[0]))
+        first = np.ones(len(order), bool)
+        first[1:] = pairs[0][order][1:] != pairs[0][order][:-1]
+        good = np.zeros(len(n), bool)
+        good[order[first]] = True
+        keep[slots] = good[back.ravel()]
+    return keep
 
 
 class Benchmark:
@@ -129,6 +200,8 @@ class Benchmark:
             data = np.frombuffer((text or "").encode(), np.uint8)
             named, plain, value, _ = canonical(data, np.array([0, len(data)]))
             template = value if literal else named if names else plain
+            if not literal:
+                template, value, _ = merged(template, value, np.array([0]))
             self.template.append(template)
             self.value.append(value)
             h = _windows(template, window)
@@ -166,21 +239,19 @@ class Benchmark:
         found = []
         for o in np.unique(item):
             mine = item == o
+            w = int(width[mine][0])
             best = None
-            shift = at[mine] - place[mine]
-            for diagonal in np.unique(shift):  # an alignment of the item with the text
-                # windows without an index entry count as well where their template words agree
-                covered = _runs(self.template[o], template, int(diagonal), int(width[mine][0]))
-                ours, theirs = self.value[o][covered], value[covered + diagonal]
-                slots = self.template[o][covered]
-                slots = _slots(slots)
-                pairs = np.unique(np.stack([ours[slots], theirs[slots]]), axis=1)
-                consistent = len(np.unique(pairs[0])) == pairs.shape[1]
-                if not consistent:
+            for places, shifts in _chains(self.template[o], template, np.unique(at[mine] - place[mine]), w):
+                ours, theirs = self.value[o][places], value[places + shifts]
+                keep = _consistent(ours, theirs, _slots(self.template[o][places]))
+                if w < self.window and not (keep.all() and len(places) == w):
+                    continue  # a short item must occur whole
+                where = places[keep]
+                if not len(where):
                     continue
-                breaks = np.flatnonzero(np.diff(covered) > 1)
-                edges = np.concatenate(([-1], breaks, [len(covered) - 1]))
-                row = (len(covered), int(np.diff(edges).max()), bool((ours == theirs).all()))
+                turn = np.flatnonzero((np.diff(where) > 1) | (np.diff(shifts[keep]) != 0))
+                edges = np.concatenate(([-1], turn, [len(where) - 1]))
+                row = (len(where), int(np.diff(edges).max()), bool(keep.all() and (ours == theirs).all() and not np.diff(shifts).any()))
                 if best is None or row > best:
                     best = row
             if best:
@@ -226,14 +297,14 @@ def _contained(docs: DataFrame, items: DataFrame, window: int, coverage: float,
                 named, plain, value, first = canonical(data, offsets)
                 best: dict[tuple[int, int], tuple] = {}
                 for bench in both:
-                    template = value if bench.literal else named if bench.names else plain
+                    template, own, at_word = (value, value, first) if bench.literal else merged(named if bench.names else plain, value, first)
                     hot = np.zeros(len(offsets) - 1, bool)
                     for k in bench.sizes:  # texts without any window of the benchmark are passed over together
                         if len(template) >= k and len(bench.hash):
                             at = np.flatnonzero(_in(bench.hash, textkit.shingles(template, k)))
-                            hot[np.searchsorted(first, at, "right") - 1] = True
+                            hot[np.searchsorted(at_word, at, "right") - 1] = True
                     for i in np.flatnonzero(hot):
-                        for f in bench.find(template[first[i] : first[i + 1]], value[first[i] : first[i + 1]], coverage, run):
+                        for f in bench.find(template[at_word[i] : at_word[i + 1]], own[at_word[i] : at_word[i + 1]], coverage, run):
                             best[i, f[0]] = max(best.get((i, f[0]), ()), f[1:])
                 out = [(i, o, *f) for (i, o), f in best.items()]
                 if out:
