@@ -179,6 +179,13 @@ def test_lm_scores(spark):
     assert sum(r["score"] for r in held) > 1.3 * sum(r["base_score"] for r in held)
 
 
+def test_lm_scores_do_not_depend_on_the_head(spark):
+    docs = [(i, " ".join(f"w{(i * j) % 37}x" for j in range(1, 20))) for i in range(40)] + [(99, "unseen qqq w1x"), (100, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    one, all_ = ({r["doc_id"]: r["score"] for r in lm_score(df, PIECES, head=h, sample=20).collect()} for h in (3, 1 << 20))
+    assert one == pytest.approx(all_, abs=1e-3)
+
+
 def test_attention_scores_are_a_distribution():
     from weftgraph.llm.attention import AttentionLM
 
