@@ -133,6 +133,47 @@ def test_main_text_of_pages(spark):
     assert got[1]["text"] == want and got[1]["n_chars"] == len(want) and (got[None]["text"], got[None]["n_chars"]) == ("", 0)
 
 
+PROSE = [f"Sentence number {i}, which is long enough to count as prose, and goes on; then it stops. Another one follows it." for i in range(6)]
+BODY = "".join(f"<p>{x}</p>" for x in PROSE)
+
+
+@pytest.mark.parametrize("around", ['<div class="legal-guide">%s</div>', '<div id="search-engines-explained">%s</div>', '<form action="x"><div>%s</div></form>', '<div class="ads"><article>%s</article></div>', "%s", "<table><tr><td>%s</table>", "<b><i>%s"])
+def test_main_text_ignores_names_of_what_holds_the_whole_text(around):
+    page = "<body><nav><ul><li><a href=x>Home page</a></ul></nav>" + around % BODY + "<footer>Copyright, all rights reserved. Contact.</footer>"
+    assert main_text(page) == " ".join(PROSE)
+
+
+def test_main_text_leaves_out_teasers_and_keeps_headings_and_lists():
+    for teasers in ("<div><h3><a href=a>Teaser one here</a></h3></div>", "<div><ul><li><a href=a>Teaser one</a></li><li><a href=b>Second</a></li></ul></div>", '<div class="ad">Buy this, now. Really.</div>'):
+        assert main_text(f"<main><h1>The title</h1>{BODY}{teasers}</main>") == main_text(f"<main>{teasers}<h1>The title</h1>{BODY}</main>") == "The title " + " ".join(PROSE)
+    apart = f"<div><div><h2>Heading apart</h2></div><div>{BODY}<ul><li>one point<li>two</ul>{BODY}</div></div>"
+    assert main_text(apart) == " ".join(["Heading apart", *PROSE, "one point two", *PROSE])
+
+
+def test_main_text_of_random_pages_equals_the_article_they_were_made_of():
+    rng = random.Random(12)
+    sentence = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(rng.randrange(4, 14))) + rng.choice(".!?")
+    junk = [lambda: "<nav>" + "".join(f"<li><a href=/{i}>{sentence()[:9]}</a>" for i in range(4)) + "</nav>", lambda: f'<div class="ad">{sentence()}</div>', lambda: f"<aside><p>{sentence()}</p></aside>", lambda: f'<div id="comments"><p>{sentence()}</p><p>{sentence()}</p></div>', lambda: f"<footer>{sentence()}</footer>", lambda: f"<script>var x = '{sentence()}'</script><!-- {sentence()} -->"]
+    for _ in range(200):
+        blocks = [" ".join(sentence() for _ in range(rng.randrange(3, 8))) for _ in range(rng.randrange(3, 9))]
+        article = "".join(f"<p>{b.replace(' ', rng.choice([' ', chr(10), '  ']), 1)}" + rng.choice(["", "</p>"]) for b in blocks)
+        wrap = rng.choice(["<article>%s</article>", '<div class="story-%d"><section>%%s</section></div>' % rng.randrange(9), "<div><div><div>%s</div></div></div>"])
+        page = "<html><head><title>t</title></head><body>" + "".join(rng.choice(junk)() for _ in range(rng.randrange(3))) + wrap % article + "".join(rng.choice(junk)() for _ in range(rng.randrange(3))) + "</body></html>"
+        assert main_text(page) == " ".join(blocks), page
+
+
+def test_main_text_takes_linear_time():
+    import time
+
+    for unit in ("<div>x", "<b>", "</x>", "<a ", '<a "x>" ', "<li>x", "<p><b>", "<b><i></b>", "<td>x<table>"):
+        times = []
+        for n in (12500, 50000):
+            start = time.process_time()
+            main_text(unit * n + "x")
+            times.append(time.process_time() - start)
+        assert times[1] < 0.3 + 9 * times[0], unit
+
+
 def test_toxicity_separates_held_out_documents(spark):
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(3))
