@@ -68,9 +68,35 @@ class Automaton:
         order = np.argsort(keys)
         self.keys = keys[order]
         self.to = np.fromiter(child.values(), np.int32, len(child))[order]
+        self._hashed()
         self.piece_id = np.array(self.piece_id, np.int32)
         self.fail, self.pops, self.rest = (np.array(x, np.int32) for x in (fail, pops, rest))
 
+    def _hashed(self) -> None:
+        """Edges in a table by hash, at most one a slot; those that met another edge there stay in a sorted list."""
+        self.bits = max(4, int(len(self.keys) * 4).bit_length())
+        slot = self._slot(self.keys)
+        self.slot_key, self.slot_to = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
+        self.slot_key[slot[::-1]], self.slot_to[slot[::-1]] = self.keys[::-1], self.to[::-1]
+        rest = self.slot_key[slot] != self.keys
+        self.rest_keys, self.rest_to = np.append(self.keys[rest], np.iinfo(np.int64).max), np.append(self.to[rest], 0)
+        self.crowded = np.zeros(1 << self.bits, bool)
+        self.crowded[slot[rest]] = True
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _step(self, state: np.ndarray, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each state has an edge for its byte, and where it leads."""
+        key = state.astype(np.int64) << 8 | byte
+        slot = self._slot(key)
+        hit, to = self.slot_key[slot] == key, self.slot_to[slot]
+        if len(todo := np.flatnonzero(~hit & self.crowded[slot])):
+            at = np.searchsorted(self.rest_keys, key[todo])
+            hit[todo], to[todo] = self.rest_keys[at] == key[todo], self.rest_to[at]
+        return hit, to
+
     def count(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, lead: int = 32) -> np.ndarray:
         """Pieces of each span, read with the byte ``lead`` (a space) before it."""
         size = end - start
@@ -83,10 +109,8 @@ class Automaton:
             byte = data[start[:live] + at].astype(np.int64) if at >= 0 else np.full(live, lead, np.int64)
             todo = np.arange(live)
             while len(todo):
-                key = state[todo].astype(np.int64) << 8 | byte[todo]
-                slot = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-                hit = self.keys[slot] == key
-                state[todo[hit]] = self.to[slot[hit]]
+                hit, to = self._step(state[todo], byte[todo])
+                state[todo[hit]] = to[hit]
                 todo = todo[~hit]
                 total[todo] += self.pops[state[todo]]
                 state[todo] = self.fail[state[todo]]
@@ -95,12 +119,6 @@ class Automaton:
         out[order] = total
         return out
 
-
-    def _step(self, state: np.ndarray, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        key = state.astype(np.int64) << 8 | byte
-        slot = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return self.keys[slot] == key, self.to[slot]
-
     def pieces(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, lead: int = 32) -> tuple[np.ndarray, np.ndarray]:
         """Greedy longest-match piece ids of each span with the byte ``lead`` before it, and the offsets of each span's."""
         owner, ids = [], []
