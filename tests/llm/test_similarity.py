@@ -117,10 +117,10 @@ def found(spark, *texts, items=((1, ITEM),), **options):
 
 def test_decontamination_finds_verbatim_and_reparameterised_items_only(spark):
     other = ITEM.replace("Maria", "Anna").replace("12", "340").replace("Peter", "Otto").replace("5 km", "7 miles")
-    mixed = ITEM.replace("Maria has", "Anna has")  # Maria is Anna first and Maria later: not one renaming
+    mixed = ITEM.replace("Maria has", "Anna has")  # Maria is Anna first and Maria later: that slot doesn't count, the rest of the copy does
     text = "Some words come first. " + ITEM.upper().lower() + " And then more."
     got = found(spark, ITEM, f"Intro. {other} Outro.", "nothing of the kind is here at all, only words", None, "", text, mixed, ITEM[:20])
-    assert [g[:2] for g in got] == [(0, 1), (1, 1), (5, 1)] and got[0][2] and not got[1][2]
+    assert [g[:2] for g in got] == [(0, 1), (1, 1), (5, 1), (6, 1)] and got[0][2] and not got[1][2] and not got[3][2]
 
 
 def test_decontamination_of_items_rich_in_numbers(spark):

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import textkit
 
@@ -288,7 +289,7 @@ def _contained(docs: DataFrame, items: DataFrame, window: int, coverage: float,
     shared = docs.sparkSession.sparkContext.broadcast([Benchmark(rows_, window, names, literal) for rows_ in [[(r[0], r[1]) for r in items.collect()]] for names, literal in ((True, False), (False, False), (False, True))])
     doc_kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    item_type = pa.int64() if item_kind in ("bigint", "long") else pa.int32() if item_kind == "int" else pa.string()
+    item_type = to_arrow_type(items.schema["item_id"].dataType)
 
     def run_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = shared.value

@@ -35,7 +35,13 @@ def fit_centres(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 def _unit(batch: pa.RecordBatch, column: str, width: int) -> np.ndarray:
     flat = batch.column(batch.schema.get_field_index(column)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
-    return flat / np.linalg.norm(flat, axis=1, keepdims=True)
+    return _normal(flat)
+
+
+def _normal(x: np.ndarray) -> np.ndarray:
+    """Rows at unit length; divided by their largest component first, so that no square over- or underflows."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def _cells(rows: DataFrame, centres: np.ndarray, threshold: float, width: int) -> DataFrame:
@@ -108,7 +114,7 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.98, cell_size: int
         labels = rows.select(F.approx_count_distinct("label")).first()[0]
         k = int(min(max_cells, max(1, math.ceil(n / max(1, labels) / cell_size))))
         taken = np.array([r["v"] for r in rows.select("v", "node").orderBy(F.xxhash64("node"), "node").limit(min(sample, 64 * k)).collect()], float).reshape(-1, width)
-        centres = fit_centres(taken / np.linalg.norm(taken, axis=1, keepdims=True), k)
+        centres = fit_centres(_normal(taken), k)
         seen = stored(_cells(rows, centres, threshold, width))
         blocks = seen.groupBy("label", "cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
         dealt = seen.join(blocks, ["label", "cell"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .shared import checkpointed
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of (a, b), root being the smallest node reachable.
 
     Alternating large-star and small-star steps; each is a pre-aggregated minimum and
@@ -18,7 +18,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     link = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
     link, last = checkpointed(link), None
-    for _ in range(rounds):
+    while True:
         both = link.unionByName(link.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()

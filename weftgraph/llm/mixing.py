@@ -7,7 +7,7 @@ rate = min(cap, exp(multiplier * size / mean size)). Newton iterations run over
 the (source, size) histogram; rates are then rounded into whole copies.
 
 The histogram of a source has at most sqrt(2 * words) entries, since its sizes
-differ, so it can be folded within a row. Documents are never gathered by source.
+differ; it is folded in parts. Documents are never gathered by source.
 """
 
 from __future__ import annotations
@@ -82,20 +82,36 @@ def balance(hist: DataFrame, targets: DataFrame, cap: float, iterations: int = 6
     return state
 
 
-def rounded(hist: DataFrame, cap: int) -> DataFrame:
+def rounded(hist: DataFrame, cap: int, fold: int = 256) -> DataFrame:
     """Whole copies ``take`` of each (source, size, n_docs, rate), near its words in each source.
 
-    Sizes are folded from the largest down; what a size's rounding leaves is carried, in
-    words, to the smaller ones, so a source ends within half of its smallest sizes.
+    Sizes are folded from the largest down, ``fold`` at a time; what a size's rounding leaves
+    is carried, in words, to the smaller ones of its part, and what all other parts leave to
+    the part of the smallest sizes. So a source ends within half of its smallest sizes, and
+    no row or task holds more than one part.
     """
+    # ranks in two steps, within and across ranges of at most 2^8 sizes
+    ranged = hist.withColumn("range", F.shiftright("size", 8))
+    per = ranged.groupBy("source", "range").agg(F.count(F.lit(1)).alias("n"))
+    larger = Window.partitionBy("source").orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select(F.col("source").alias("rs"), F.col("range").alias("rr"), F.coalesce(F.sum("n").over(larger), F.lit(0)).alias("above"), F.sum("n").over(Window.partitionBy("source")).alias("all"))
+    place = F.row_number().over(Window.partitionBy("source", "range").orderBy(F.desc("size"))) - 1
+    ranked = ranged.withColumn("place", place).join(per, F.col("source").eqNullSafe(F.col("rs")) & (F.col("range") == F.col("rr")))
+    # the last part is that of the smallest sizes and is full
+    part = F.floor((F.col("all") - 1 - F.col("place") - F.col("above")) / fold)
     item = F.struct(F.col("size"), F.col("n_docs"), F.col("rate"))
-    rows = hist.groupBy("source").agg(F.sort_array(F.collect_list(item), asc=False).alias("bins"))
-    start = F.expr("struct(0D AS carry, CAST(array() AS array<struct<size:bigint,take:bigint>>) AS out)")
+    parts = checkpointed(ranked.groupBy("source", part.alias("part")).agg(F.sort_array(F.collect_list(item), asc=False).alias("bins")))
+    take = f"CAST(least({cap} * b.n_docs, greatest(0, CAST(round(b.n_docs * b.rate + acc.carry / b.size) AS bigint))) AS bigint)"
     step = f"""(acc, b) -> CASE WHEN b.size = 0 THEN struct(acc.carry AS carry, concat(acc.out, array(struct(b.size AS size, CAST(b.n_docs AS bigint) AS take))) AS out)
-        ELSE struct(acc.carry + b.size * (b.n_docs * b.rate - least({cap} * b.n_docs, greatest(0, CAST(round(b.n_docs * b.rate + acc.carry / b.size) AS bigint)))) AS carry,
-            concat(acc.out, array(struct(b.size AS size, CAST(least({cap} * b.n_docs, greatest(0, CAST(round(b.n_docs * b.rate + acc.carry / b.size) AS bigint))) AS bigint) AS take))) AS out) END"""
-    folded = rows.withColumn("start", start).select("source", F.explode(F.expr(f"aggregate(bins, start, {step}).out")).alias("b"))
-    return folded.select("source", F.col("b.size").alias("size"), F.col("b.take").alias("take"))
+        ELSE struct(acc.carry + b.size * (b.n_docs * b.rate - {take}) AS carry, concat(acc.out, array(struct(b.size AS size, {take} AS take))) AS out) END"""
+    folded = lambda df: df.withColumn("done", F.expr(f"aggregate(bins, start, {step})"))
+    start = lambda carry: F.struct(carry.alias("carry"), F.expr("CAST(array() AS array<struct<size:bigint,take:bigint>>)").alias("out"))
+    large = checkpointed(folded(parts.filter("part > 0").withColumn("start", start(F.lit(0.0)))).select("source", "done"))
+    left = large.groupBy(F.col("source").alias("ls")).agg(F.sum("done.carry").alias("left"))
+    small = parts.filter("part = 0").join(left, F.col("source").eqNullSafe(F.col("ls")), "left")
+    small = folded(small.withColumn("start", start(F.coalesce("left", F.lit(0.0))))).select("source", "done")
+    out = large.unionByName(small).select("source", F.explode("done.out").alias("b"))
+    return out.select("source", F.col("b.size").alias("size"), F.col("b.take").alias("take"))
 
 
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: int = 2, group: int = 1024) -> DataFrame:

@@ -95,8 +95,8 @@ def _grams(rows: DataFrame, k: int) -> DataFrame:
 def intersections(left: list[np.ndarray], right: list[np.ndarray] | None, cells: int = 1 << 22) -> np.ndarray:
     """Sizes of the intersections of sorted sets, left x right (or left x left), by products of 0/1 matrices.
 
-    Members that occur in one set only are dropped; columns are taken in strips, so
-    memory stays at about ``cells`` numbers and the result.
+    Members that occur in one set only count on the diagonal of left x left alone; columns
+    are taken in strips, so memory stays at about ``cells`` numbers and the result.
     """
     sets = left + (right or [])
     sizes = [len(s) for s in sets]
@@ -110,6 +110,8 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray] | None, cells:
     column, owner = column[often], owner[often]
     out = np.zeros((len(left), len(left) if right is None else len(right)), np.float32)
     if not len(column):
+        if right is None:
+            np.fill_diagonal(out, sizes)
         return out
     column = np.cumsum(np.concatenate(([True], column[1:] != column[:-1]))) - 1
     strip = max(64, cells // max(1, len(sets)))
@@ -118,6 +120,8 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray] | None, cells:
         m = np.zeros((len(sets), min(strip, int(column[-1]) + 1 - at)), np.float32)
         m[owner[lo:hi], column[lo:hi] - at] = 1.0
         out += m[: len(left)] @ (m[: len(left)] if right is None else m[len(left) :]).T
+    if right is None:
+        np.fill_diagonal(out, sizes)
     return out
 
 
@@ -163,7 +167,8 @@ def ngram_join(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: floa
     kept (doc_id = class_id), one row per input row. A text without words (null, empty)
     links with nothing. Null ids take part: their class_id is null only if no id in the
     class isn't. Repeated rows are copies of each other. Other columns are ignored, but for
-    ``key``, a hash of id and text that the caller has made and wants returned.
+    ``key``, a hash of id and text that the caller has made and wants returned, with a
+    column group that all rows of a class share.
     """
     bands, per_band = choose_bands(threshold, recall)
     rows = docs.select(F.col("doc_id").alias("id"), (F.col(key) if key else F.xxhash64("text")).alias("dh"), F.col("text").cast("string").alias("text"))
@@ -190,12 +195,12 @@ def ngram_join(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: floa
     linked = components(found.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
     named = linked.join(classes.select("node", "first_id"), "node")
     names = named.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    linked = named.join(names, "root").select("node", "class_id")
+    linked = named.join(names, "root").select("node", "class_id", F.col("root").alias("group"))
     # only classes with copies or links need a lookup; the others are their own class
     known = classes.filter("copies > 1").select("node").unionByName(links.filter("links > 0").select("node")).distinct()
     info = known.join(classes.select("node", "first_id", "copies"), "node").join(links, "node", "left").join(linked, "node", "left")
-    info = checkpointed(info.select(F.col("node").alias("_node"), F.coalesce("class_id", "first_id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
+    info = checkpointed(info.select(F.col("node").alias("_node"), F.coalesce("class_id", "first_id").alias("class_id"), F.coalesce("group", "node").alias("group"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
     out = sig.select("id", "dh", "n", "node").join(info, (F.col("node") == F.col("_node")) & (F.col("n") > 0), "left")
     class_id = F.when(F.col("_node").isNull(), F.col("id")).otherwise(F.col("class_id"))
-    extra = [F.col("dh").alias(key)] if key else []
+    extra = [F.col("dh").alias(key), F.coalesce("group", "node").alias("group")] if key else []
     return out.select(*extra, F.col("id").alias("doc_id"), class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("id").eqNullSafe(class_id).alias("kept"))

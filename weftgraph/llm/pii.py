@@ -29,7 +29,8 @@ KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+#: A match begins where its digits begin and takes all of them, so nothing is tried twice.
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _HINT = re.compile(r"[@0-9]")
@@ -99,19 +100,21 @@ def _key(value: str) -> int:
 
 
 def _scan(docs: DataFrame) -> DataFrame:
-    """Base spans, entities and terms of every row: (doc_id, dh, th, n_email .. n_phone, base, sha, entities, words)."""
+    """Base spans, entities and terms of every row: (doc_id, dh, th, n_email .. n_phone, base, base_sha256, entities, terms, held).
+
+    Terms, and the text itself as ``held``, are those of texts with spans only.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
     text_ = F.col("text").cast("string")
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("dh"), F.xxhash64(text_).alias("th"), text_.alias("text"))
     base_type = pa.list_(pa.struct([("s", pa.int32()), ("k", pa.int32()), ("e", pa.int32())]))
-    words_type = pa.list_(pa.struct([("term", pa.int64()), ("s", pa.int32()), ("e", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: dict[str, int] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                counts, base, sha, entities, words = [], [], [], [], []
+                counts, base, sha, entities, terms, held = [], [], [], [], [], []
                 for value in part.column(3):
                     text = value.as_py() or ""
                     spans = base_spans(text)
@@ -122,14 +125,15 @@ def _scan(docs: DataFrame) -> DataFrame:
                     base.append([{"s": s, "k": k, "e": e} for s, k, e, _ in spans])
                     sha.append(hashlib.sha256(",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e, _ in spans).encode()).hexdigest())
                     entities.append(sorted({_key(f"{k}:{v}") for _, k, _, v in spans}))
-                    words.append([dict(zip(("term", "s", "e"), x, strict=True)) for x in (_terms(text, spans, keys) if spans else ())])
+                    terms.append(sorted({t for t, _, _ in _terms(text, spans, keys)}) if spans else [])
+                    held.append(text if spans else None)
                 n = np.array(counts, np.int64).reshape(-1, 4)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), part.column(2), *[pa.array(n[:, i]) for i in range(4)], pa.array(base, base_type), pa.array(sha), pa.array(entities, pa.list_(pa.int64())), pa.array(words, words_type)],
-                    ["doc_id", "dh", "th", "n_email", "n_ip", "n_card", "n_phone", "base", "base_sha256", "entities", "words"],
+                    [part.column(0), part.column(1), part.column(2), *[pa.array(n[:, i]) for i in range(4)], pa.array(base, base_type), pa.array(sha), pa.array(entities, pa.list_(pa.int64())), pa.array(terms, pa.list_(pa.int64())), pa.array(held, pa.string())],
+                    ["doc_id", "dh", "th", "n_email", "n_ip", "n_card", "n_phone", "base", "base_sha256", "entities", "terms", "held"],
                 )
 
-    spans = "base array<struct<s:int,k:int,e:int>>, base_sha256 string, entities array<bigint>, words array<struct<term:bigint,s:int,e:int>>"
+    spans = "base array<struct<s:int,k:int,e:int>>, base_sha256 string, entities array<bigint>, terms array<bigint>, held string"
     return rows.mapInArrow(run, f"doc_id {kind}, dh long, th long, n_email long, n_ip long, n_card long, n_phone long, {spans}")
 
 
@@ -156,8 +160,12 @@ def _term_texts(docs: DataFrame, copies: DataFrame, terms: DataFrame, limit: int
         only, m = shared.value
         only = None if only is None else set(only.tolist())
         known: dict[str, int] = {}
+        counts: dict[int, float] = {}
+
+        def rows_() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.float64())], ["term", "n"])
+
         for batch in batches:
-            counts: dict[int, float] = {}
             for value, th, joined in zip(batch.column("text"), batch.column("th").to_pylist(), batch.column("m").to_pylist(), strict=True):
                 share = 1.0 / (joined or m.get(th, 1))
                 for word in {w.lower() for w in _WORD.findall(value.as_py())}:
@@ -167,7 +175,10 @@ def _term_texts(docs: DataFrame, copies: DataFrame, terms: DataFrame, limit: int
                         key = known[word] = _key(word)
                     if only is None or key in only:
                         counts[key] = counts.get(key, 0.0) + share
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.float64())], ["term", "n"])
+            if len(counts) > 1 << 18:
+                yield rows_()
+                counts.clear()
+        yield rows_()
 
     counted = rows.mapInArrow(run, "term long, n double").groupBy("term").agg(F.round(F.sum("n")).cast("long").alias("n_t"))
     return counted if wanted is not None else counted.join(terms, "term")
@@ -175,30 +186,51 @@ def _term_texts(docs: DataFrame, copies: DataFrame, terms: DataFrame, limit: int
 
 def disclosing_terms(scan: DataFrame, docs: DataFrame, generalise: float, remove: float, texts: int, limit: int = 1 << 20) -> DataFrame | None:
     """(th, term, action): terms above the threshold for an entity of that text; None without entities."""
-    held = scan.filter(F.size("entities") > 0).select("th", "entities", F.array_distinct(F.transform("words", lambda x: x["term"])).alias("terms")).dropDuplicates(["th"])
-    held = checkpointed(held)
-    n_e = checkpointed(held.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")))
+    m = checkpointed(scan.groupBy("th").agg(F.count(F.lit(1)).alias("m")))
+    total = m.count()
+    copies = checkpointed(m.filter("m > 1"))
+    held = scan.filter(F.size("entities") > 0).join(copies, "th", "left").withColumn("share", 1 / F.coalesce("m", F.lit(1)))
+    n_e = checkpointed(held.select(F.explode("entities").alias("entity"), "share").groupBy("entity").agg(F.round(F.sum("share")).cast("long").alias("n_e")))
     most = n_e.agg(F.max("n_e")).first()[0]
     if most is None:
         return None
-    rows = scan.groupBy("th").agg(F.count(F.lit(1)).alias("m"))
-    total = rows.count()
-    terms = checkpointed(held.select(F.explode("terms").alias("term")).distinct())
-    n_t = _term_texts(docs, checkpointed(rows.filter("m > 1")), terms, limit)
-    # as n_et <= n_e, no term in more texts than this reaches the threshold for any entity
-    bound = max(total ** (1 - generalise) * most**generalise, total ** (1 - generalise)) * (1 + 1e-9)
-    n_t = checkpointed(n_t.filter(F.col("n_t").between(texts, bound)))
+    terms = checkpointed(scan.filter(F.size("entities") > 0).select(F.explode("terms").alias("term")).distinct())
+    n_t = _term_texts(docs, copies, terms, limit)
+    # no more than n_e texts hold both, so a term in more texts than this can't reach the threshold of any entity
+    reach = lambda n, level: F.pow(n, F.lit(level)) * total ** (1 - level) * (1 + 1e-9)
+    n_t = checkpointed(n_t.filter((F.col("n_t") >= texts) & (F.col("n_t") <= reach(F.lit(float(most)), generalise))))
     some = F.broadcast(n_t) if n_t.count() <= limit else n_t
-    pairs = held.select("th", "entities", F.explode("terms").alias("term")).join(some, "term").select("th", "term", "n_t", F.explode("entities").alias("entity"))
-    pairs = checkpointed(pairs)
-    found = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et"), F.first("n_t").alias("n_t")).join(n_e, "entity")
+    entities = F.broadcast(n_e) if n_e.count() <= limit else n_e
+    rare = held.select("th", "share", "entities", F.explode("terms").alias("term")).join(some, "term")
+    pairs = rare.select("th", "share", "term", "n_t", F.explode("entities").alias("entity")).join(entities, "entity")
+    pairs = pairs.filter(F.col("n_t") <= F.when(F.col("n_e") > 1, reach(F.col("n_e").cast("double"), generalise)).otherwise(reach(F.col("n_e").cast("double"), remove)))
+    found = pairs.groupBy("entity", "term").agg(F.round(F.sum("share")).cast("long").alias("n_et"), F.first("n_t").alias("n_t"), F.first("n_e").alias("n_e"))
     ic = F.log(F.lit(float(total)) / F.col("n_e"))
     pmi = F.log(F.col("n_et") * F.lit(float(total)) / (F.col("n_t") * F.col("n_e")))
     found = found.withColumn("disclosure", F.when(ic > 0, pmi / ic).otherwise(0.0))
     # a meeting in one text may be chance: it counts if the term gives away nearly all
     found = found.filter((F.col("disclosure") >= generalise) & ((F.col("n_et") > 1) | (F.col("disclosure") >= remove)))
-    found = found.select("entity", "term", F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise").alias("action"))
-    return pairs.join(found, ["entity", "term"]).groupBy("th", "term").agg(F.max("action").alias("action"))
+    found = checkpointed(found.select("entity", "term", F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise").alias("action")))
+    return checkpointed(pairs.select("th", "entity", "term").join(found, ["entity", "term"]).groupBy("th", "term").agg(F.max("action").alias("action")))
+
+
+def _occurrences(rows: DataFrame) -> DataFrame:
+    """(dh, added): where the terms of (dh, held, found) occur; a text's spans are found again, so that words in them don't count."""
+    added = "array<struct<s:int,k:int,e:int,kind:string,action:string>>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: dict[str, int] = {}
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                out = []
+                for text, found in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                    action = {x["term"]: x["action"] for x in found}
+                    out.append([{"s": s, "k": len(KINDS), "e": e, "kind": TERM, "action": action[t]} for t, s, e in _terms(text, base_spans(text), keys) if t in action])
+                kind = pa.list_(pa.struct([("s", pa.int32()), ("k", pa.int32()), ("e", pa.int32()), ("kind", pa.string()), ("action", pa.string())]))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, kind)], ["dh", "added"])
+
+    return rows.select("dh", "held", "found").mapInArrow(run, f"dh long, added {added}")
 
 
 def find_pii(docs: DataFrame, generalise: float = 0.5, remove: float = 0.8, texts: int = 2) -> DataFrame:
@@ -215,14 +247,15 @@ def find_pii(docs: DataFrame, generalise: float = 0.5, remove: float = 0.8, text
     found = disclosing_terms(scan, docs, generalise, remove, texts)
     base = F.transform("base", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), F.element_at(F.array(*[F.lit(k) for k in KINDS]), x["k"] + 1).alias("kind"), F.lit("remove").alias("action")))
     empty = F.expr("CAST(array() AS array<struct<s:int,k:int,e:int,kind:string,action:string>>)")
+    rows = scan.drop("terms", "held")
     if found is None:
-        rows = scan.withColumn("added", empty)
+        rows = rows.withColumn("added", empty)
     else:
+        by_text = found.groupBy("th").agg(F.collect_list(F.struct("term", "action")).alias("found"))
+        hits = stored(_occurrences(scan.filter(F.size("entities") > 0).select("dh", "th", "held").dropDuplicates(["dh"]).join(by_text, "th")))
         holds = F.size("entities") > 0
-        hits = scan.filter(holds).dropDuplicates(["th"]).select("th", F.explode("words").alias("x")).select("th", "x.*").join(found, ["th", "term"])
-        hits = hits.groupBy("th").agg(F.collect_list(F.struct("s", F.lit(len(KINDS)).alias("k"), "e", F.lit(TERM).alias("kind"), "action")).alias("added"))
-        rows = scan.filter(holds).join(hits, "th", "left").withColumn("added", F.coalesce("added", empty))
-        rows = rows.unionByName(scan.filter(~holds).withColumn("added", empty))
+        some = rows.filter(holds).join(hits, "dh", "left").withColumn("added", F.coalesce("added", empty))
+        rows = some.unionByName(rows.filter(~holds).withColumn("added", empty))
     rows = rows.withColumn("cuts", F.sort_array(F.concat(base, "added")))
     text = F.array_join(F.transform("cuts", lambda x: F.concat_ws(":", x["kind"], x["s"].cast("string"), x["e"].cast("string"))), ",")
     cuts = F.transform("cuts", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"), x["action"].alias("action")))

@@ -73,12 +73,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 12000, bits: int = B
     ``labels`` has doc_id and toxic; rows null in either, and rows held out by the
     caller, don't count. The sample is the rows lowest by a hash of their id, so it
     doesn't depend on partitioning, and its bound lets one task fit it. An id that
-    occurs in several documents or label rows contributes each distinct pair once.
+    occurs in several documents or label rows contributes each label once, with its first text.
     No labelled rows: no weights, and every score is 0.5.
     """
     picked = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
     picked = picked.orderBy(F.xxhash64(F.lit(7), F.col("doc_id")), "doc_id", "toxic").limit(sample)
-    pairs = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id", "toxic"])
+    pairs = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
+    pairs = pairs.groupBy(F.xxhash64(F.lit(7), "doc_id").alias("place"), "toxic").agg(F.min("text").alias("text"))
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,18 +88,17 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 12000, bits: int = B
                 both = np.unique(doc << bits | slot)
                 first = np.searchsorted(both >> bits, np.arange(len(offsets)))
                 slot = pa.array((both & ((1 << bits) - 1)).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), slot)], ["doc_id", "toxic", "slots"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), slot)], ["place", "toxic", "slots"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), (x.values.to_numpy() for x in b.column(2)), strict=True)]
-        rows.sort(key=lambda r: (int(textkit.mix(np.array([r[0] & (2**63 - 1)], np.uint64))[0]), r[0], r[1]))
+        rows.sort(key=lambda r: r[:2])
         if rows:
             w = _fit([r[2] for r in rows], np.array([r[1] for r in rows], float), bits, epochs, alpha, beta, l1, l2)
             at = np.flatnonzero(w)
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(w[at])], ["slot", "weight"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    hashed = pairs.select("doc_id", "toxic", "text").mapInArrow(featurise, f"doc_id {kind}, toxic int, slots array<int>")
+    hashed = pairs.select("place", "toxic", "text").mapInArrow(featurise, "place long, toxic int, slots array<int>")
     return hashed.repartition(1).mapInArrow(learn, "slot int, weight double").toPandas()
 
 
