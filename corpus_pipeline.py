@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from weftgraph.llm import decontamination, line_dedup, mixing, ngram_join, toxicity
 from weftgraph.llm.shared import ship, stored
 
-#: No stage but the last two joins is SQL; the pipeline is tested against brute force.
+#: SQL can't express the classifier, the n-gram join or the templates; tests/llm/test_pipeline.py has a brute-force version.
 ORACLE_SQL = None
 
 
@@ -41,13 +41,14 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class, that of the smallest id; repeated rows are one document."""
+    """One document of each near-duplicate class: that of the smallest id (null last), then hash; of rows alike in both, the first by all columns."""
     ship(spark)
     keyed = _keyed(docs)
     ids = ngram_join.ngram_join(keyed.select("doc_id", "text", "_key"), key="_key")
-    ids = stored(ids.filter("n_links > 0"))
+    ids = stored(ids.filter("n_links > 0").select("_key", "group", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key").alias("order")))
     rest = keyed.join(ids.select("_key").distinct(), "_key", "left_anti")
-    first = keyed.join(ids.filter("kept").select("_key").distinct(), "_key", "left_semi").dropDuplicates(["_key"])
+    first = ids.groupBy("group").agg(F.min("order").alias("order")).select(F.col("order._key").alias("_key"))
+    first = keyed.join(first, "_key", "left_semi").groupBy("_key").agg(F.min(F.struct(*docs.columns)).alias("row")).select("_key", "row.*")
     return rest.unionByName(first).select(*docs.columns)
 
 
@@ -61,7 +62,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Copies of each remaining document that bring the sources to their target weights."""
+    """Copies of each remaining document that bring the sources to their target weights; ids and counts, no text."""
     return mixing.mix_sources(docs)
 
 
@@ -75,6 +76,7 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents. Returns what mixing returns: one row a document kept, with its copies but without its text."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
