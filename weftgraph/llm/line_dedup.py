@@ -135,8 +135,8 @@ def line_dedup(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """
     text = F.col("text").cast("string")
     base = docs.drop("n_lines", "n_removed", "runs")
-    cut = checkpointed(repeated_runs(docs, min_words)).select(F.col("doc_id").alias("_id"), F.col("dh").alias("_dh"), "runs")
-    hit = base.withColumn("_key", F.xxhash64("doc_id", text)).join(cut, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_dh")), "left").drop("_id", "_dh", "_key")
+    cut = checkpointed(repeated_runs(docs, min_words)).select(F.col("doc_id").alias("__weft_id"), F.col("dh").alias("__weft_dh"), "runs")
+    hit = base.withColumn("__weft_key", F.xxhash64("doc_id", text)).join(cut, F.col("doc_id").eqNullSafe(F.col("__weft_id")) & (F.col("__weft_key") == F.col("__weft_dh")), "left").drop("__weft_id", "__weft_dh", "__weft_key")
     gone = F.flatten(F.transform("runs", lambda r: F.sequence(r["s"], r["e"] - 1)))
     # an array of one binds the split text, so that it isn't split again for each line
     bound = F.array(F.struct(F.split(text, "\n").alias("lines"), gone.alias("gone")))

@@ -267,9 +267,9 @@ def sanitise(docs: DataFrame, **options) -> DataFrame:
 
     All columns stay; a null text stays null. Of overlapping spans the earlier, then the longer, is replaced.
     """
-    cuts = find_pii(docs, **options).filter(F.size("cuts") > 0).select(F.col("doc_id").alias("_id"), F.col("dh").alias("_dh"), "cuts").dropDuplicates(["_id", "_dh"])
+    cuts = find_pii(docs, **options).filter(F.size("cuts") > 0).select(F.col("doc_id").alias("__weft_id"), F.col("dh").alias("__weft_dh"), "cuts").dropDuplicates(["__weft_id", "__weft_dh"])
     key = F.xxhash64("doc_id", "text")
-    joined = docs.withColumn("_key", key).join(cuts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_dh")), "left")
+    joined = docs.withColumn("__weft_key", key).join(cuts, F.col("doc_id").eqNullSafe(F.col("__weft_id")) & (F.col("__weft_key") == F.col("__weft_dh")), "left")
     order = F.sort_array(F.transform("cuts", lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("e"), x["kind"].alias("kind"), x["action"].alias("action"))))
     begin = F.struct(F.lit("").alias("done"), F.lit(0).alias("at"))
     label = lambda x: F.when((x["kind"] == TERM) & (x["action"] == "remove"), F.lit("")).otherwise(F.concat(F.lit("["), x["kind"], F.lit("]")))
