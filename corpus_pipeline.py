@@ -18,9 +18,13 @@ from weftgraph.llm.shared import ship, stored
 ORACLE_SQL = None
 
 
+#: A name that no column of documents has.
+KEY = "__weft_key"
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """Rows alike in id and text share a key, so rows without an id can be told apart."""
-    return docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    return docs.withColumn(KEY, F.xxhash64("doc_id", "text"))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,11 +48,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each near-duplicate class: that of the smallest id (null last), then hash; of rows alike in both, the first by all columns."""
     ship(spark)
     keyed = _keyed(docs)
-    ids = ngram_join.ngram_join(keyed.select("doc_id", "text", "_key"), key="_key")
-    ids = stored(ids.filter("n_links > 0").select("_key", "group", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key").alias("order")))
-    rest = keyed.join(ids.select("_key").distinct(), "_key", "left_anti")
-    first = ids.groupBy("group").agg(F.min("order").alias("order")).select(F.col("order._key").alias("_key"))
-    first = keyed.join(first, "_key", "left_semi").groupBy("_key").agg(F.min(F.struct(*docs.columns)).alias("row")).select("_key", "row.*")
+    ids = ngram_join.ngram_join(keyed.select("doc_id", "text", KEY), key=KEY)
+    ids = stored(ids.filter("n_links > 0").select(KEY, "group", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(KEY).alias("key")).alias("order")))
+    rest = keyed.join(ids.select(KEY).distinct(), KEY, "left_anti")
+    first = ids.groupBy("group").agg(F.min("order").alias("order")).select(F.col("order.key").alias(KEY))
+    first = keyed.join(first, KEY, "left_semi").groupBy(KEY).agg(F.min(F.struct(*docs.columns)).alias("row")).select(KEY, "row.*")
     return rest.unionByName(first).select(*docs.columns)
 
 
@@ -56,9 +60,9 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents without an item of the benchmark, as it stands or re-parameterised."""
     ship(spark)
     keyed = _keyed(docs)
-    hits = decontamination.decontaminate(keyed.select(F.col("_key").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    hits = stored(hits.select(F.col("doc_id").alias("_key")).distinct())
-    return keyed.join(hits, "_key", "left_anti").select(*docs.columns)
+    hits = decontamination.decontaminate(keyed.select(F.col(KEY).alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    hits = stored(hits.select(F.col("doc_id").alias(KEY)).distinct())
+    return keyed.join(hits, KEY, "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
