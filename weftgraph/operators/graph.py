@@ -10,11 +10,9 @@ from ..functions.session import checkpointed
 
 def adjacency(edges: DataFrame, weight: str | None = None) -> DataFrame:
     """(node, nbr[, w]) in both directions, parallel edges and self-loops dropped."""
-    cols = ["u", "v"] + ([weight] if weight else [])
     e = edges.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), *([F.col(weight).alias("w")] if weight else []))
     e = e.groupBy("u", "v").agg(F.max("w").alias("w")) if weight else e.distinct()
     extra = ["w"] if weight else []
-    del cols
     return e.select(F.col("u").alias("node"), F.col("v").alias("nbr"), *extra).unionByName(e.select(F.col("v").alias("node"), F.col("u").alias("nbr"), *extra))
 
 
@@ -71,14 +69,14 @@ def ancestors(is_a: DataFrame, limit: int = 6) -> DataFrame:
     return reach
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of (a, b), the root being the smallest node reachable.
 
     Large-star and small-star steps alternate until a round changes nothing.
     """
     link = checkpointed(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     last = None
-    for _ in range(rounds):
+    while True:
         both = link.unionByName(link.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
@@ -104,6 +102,20 @@ def candidates(adj: DataFrame, type_pairs: DataFrame, node_type, known: DataFram
     return typed.select("u", "v").join(known.select("u", "v"), ["u", "v"], "left_anti")
 
 
+def scored_candidates(adj: DataFrame, first: str, last: str, node_type, known: DataFrame) -> DataFrame:
+    """(u, v, score): unknown pairs of types ``first`` and ``last`` that a walk u - a - b - v joins, b other than u, with the sum of 1 / sqrt(deg a * deg b) over its walks.
+
+    Walks are enumerated once: they are summed by (u, b) before the last step is taken.
+    """
+    share = degrees(adj).select(F.col("node").alias("nbr"), (1 / F.sqrt("deg")).alias("s"))
+    near = adj.join(share, "nbr")
+    two = near.filter(node_type("node") == first).select(F.col("node").alias("u"), F.col("nbr").alias("a"), "s").join(adj.select(F.col("node").alias("a"), F.col("nbr").alias("b")), "a").filter("b <> u")
+    two = two.groupBy("u", "b").agg(F.sum("s").alias("f"))
+    ends = near.filter(node_type("node") == last).select(F.col("node").alias("v"), F.col("nbr").alias("b"), "s")
+    three = two.join(ends, "b").filter("u < v").groupBy("u", "v").agg(F.sum(F.col("f") * F.col("s")).alias("score"))
+    return three.join(known.select("u", "v"), ["u", "v"], "left_anti")
+
+
 def non_edges_by_adamic_adar(adj: DataFrame, threshold: float = 0.7, top: int = 100) -> DataFrame:
     """(u, v, score, n_shared): unlinked pairs with shared neighbours, scores divided by the largest."""
     weight = degrees(adj).select(F.col("node").alias("z"), F.when(F.col("deg") > 1, 1 / F.log("deg")).otherwise(1.0).alias("w"))

@@ -58,7 +58,7 @@ def trigger_relations(sentences: DataFrame, mentions: DataFrame, pairs: int = 60
     """(doc_id, sentence, subject, predicate, object, confidence) of mention pairs in a sentence.
 
     Ordered pairs, the first ``pairs`` of a sentence; the lower-case text between them must not be
-    blank, exceed ``gap`` characters, or hold a negation word; the longest trigger in it wins. Gaps
+    blank, exceed ``gap`` characters, or hold a negation; the longest trigger in it wins. Gaps
     up to 40 characters give 0.75, longer ones 0.55. Sentences are (doc_id, sentence, text); mentions
     (doc_id, sentence, start, end, text) lie in them.
     """
@@ -69,7 +69,7 @@ def trigger_relations(sentences: DataFrame, mentions: DataFrame, pairs: int = 60
     two = two.withColumn("r", F.row_number().over(Window.partitionBy("doc_id", "sentence").orderBy("ka", "kb"))).filter(F.col("r") <= pairs)
     two = two.filter((F.lower("x") != F.lower("y")) & (F.col("start") > F.col("end")))
     between = two.join(sentences, ["doc_id", "sentence"]).withColumn("gap", F.lower(F.substr("text", F.col("end") + 1, F.col("start") - F.col("end"))))
-    plain = between.filter((F.trim("gap") != "") & (F.length("gap") <= gap) & ~F.col("gap").rlike(f"\\b({'|'.join(NEGATIONS)})\\b"))
+    plain = between.filter((F.trim("gap") != "") & (F.length("gap") <= gap) & ~F.exists(F.array(*[F.lit(n) for n in NEGATIONS]), lambda n: F.contains(F.col("gap"), n)))
     rules = F.array(*[F.struct(F.lit(len(t)).alias("n"), F.lit(-i).alias("o"), F.lit(t).alias("t"), F.lit(p).alias("p"), F.lit(r).alias("r")) for i, (t, p, r) in enumerate(TRIGGERS)])
     found = plain.withColumn("rule", F.array_max(F.filter(rules, lambda r: F.contains(F.col("gap"), r["t"])))).filter("rule IS NOT NULL")
     swap = F.col("rule.r")
@@ -133,9 +133,33 @@ def missing_links(members: DataFrame, edges: DataFrame, least: int = 3, first: i
 
 
 def sections(docs: DataFrame, headers: tuple[str, ...]) -> DataFrame:
-    """(doc_id, pos, line, section): lines under the last line that began with a header, in any case; null before the first."""
+    """(doc_id, pos, line, section): lines under the last line that began with a header, as written; null before the first."""
     names = "|".join(sorted(headers, key=len, reverse=True))
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    found = F.regexp_extract(F.lower("line"), f"^\\s*({names})", 1)
+    found = F.lower(F.regexp_extract("line", f"^\\s*({names})", 1))
     w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     return lines.withColumn("section", F.last(F.when(found != "", found), ignorenulls=True).over(w))
+
+
+def containing(docs: DataFrame, needles: DataFrame, words: int = 3) -> DataFrame:
+    """(query_id, doc_id) of documents (doc_id, text) that hold a needle (query_id, needle) as it is.
+
+    The first ``words`` whole words inside a needle meet, by hash, the windows of so many words of
+    every text; the texts are then compared. A needle of fewer words meets shorter windows, and one
+    without a whole word inside has no hash and raises.
+    """
+    split = lambda c: F.split(F.col(c), "\\s+")
+    keyed = needles.select("query_id", "needle", split("needle").alias("w")).withColumn("k", F.least(F.lit(words), F.size("w") - 2))
+    sizes = [r[0] for r in keyed.filter("needle IS NOT NULL").select("k").distinct().collect()]
+    if any(k < 1 for k in sizes):
+        raise ValueError("a needle needs a whole word inside")
+    out = None
+    for k in sizes:
+        window = lambda i, k=k: F.xxhash64(*[F.get(F.col("w"), i + j) for j in range(k)])
+        heads = keyed.filter(F.col("k") == k).select("query_id", "needle", window(F.lit(1)).alias("h"))
+        each = docs.select("doc_id", split("text").alias("w")).filter(F.size("w") >= k)
+        each = each.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - k), window))).alias("h"))
+        met = each.join(heads, "h").select("query_id", "needle", "doc_id").distinct()
+        found = met.join(docs, "doc_id").filter(F.contains("text", F.col("needle"))).select("query_id", "doc_id")
+        out = found if out is None else out.unionByName(found)
+    return out if out is not None else docs.sparkSession.createDataFrame([], "query_id long, doc_id long")

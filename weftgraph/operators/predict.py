@@ -52,17 +52,31 @@ def preferential_attachment(pairs: DataFrame, adj: DataFrame) -> DataFrame:
 def l3_paths(pairs: DataFrame, adj: DataFrame, weighted: bool = False) -> DataFrame:
     """Sum over walks u - a - b - v, b other than u, of 1 / sqrt(deg a * deg b), times the edge weights if wanted.
 
-    Both ends are narrowed to the pairs' endpoints before the middle edge joins them.
+    The first two steps are summed by (u, b) once for each distinct u, however many pairs
+    share it, and meet the last step of each pair.
     """
     deg = degrees(adj)
     w = F.col("w") if weighted else F.lit(1.0)
     ends = adj.select("node", "nbr", w.alias("w"))
     share = deg.select(F.col("node").alias("nbr"), (1 / F.sqrt("deg")).alias("s"))
     near = ends.join(share, "nbr").withColumn("f", F.col("w") * F.col("s"))
-    left = pairs.select("u", "v").join(near.select(F.col("node").alias("u"), F.col("nbr").alias("a"), F.col("f").alias("fu")), "u")
+    left = pairs.select("u").distinct().join(near.select(F.col("node").alias("u"), F.col("nbr").alias("a"), F.col("f").alias("fu")), "u")
     middle = left.join(ends.select(F.col("node").alias("a"), F.col("nbr").alias("b"), F.col("w").alias("wm")), "a").filter("b <> u")
-    walks = middle.join(near.select(F.col("node").alias("v"), F.col("nbr").alias("b"), F.col("f").alias("fv")), ["v", "b"])
-    return _filled(pairs, walks.groupBy("u", "v").agg(F.sum(F.col("fu") * F.col("wm") * F.col("fv")).alias("score")))
+    two = middle.groupBy("u", "b").agg(F.sum(F.col("fu") * F.col("wm")).alias("f2"))
+    last = pairs.select("u", "v").join(near.select(F.col("node").alias("v"), F.col("nbr").alias("b"), F.col("f").alias("fv")), "v")
+    return _filled(pairs, last.join(two, ["u", "b"]).groupBy("u", "v").agg(F.sum(F.col("f2") * F.col("fv")).alias("score")))
+
+
+def neighbour_scores(pairs: DataFrame, adj: DataFrame) -> DataFrame:
+    """(u, v, common_neighbours, adamic_adar, jaccard, preferential_attachment) from one search for shared neighbours."""
+    deg = degrees(adj).select(F.col("node").alias("z"), F.when(F.col("deg") > 1, 1 / F.log("deg")).otherwise(1.0).alias("w"))
+    shared = shared_neighbours(pairs, adj).join(deg, "z").groupBy("u", "v").agg(F.count(F.lit(1)).alias("i"), F.sum("w").alias("aa"))
+    x = _with_degrees(pairs, adj).join(shared, ["u", "v"], "left").fillna(0, ["i", "aa"])
+    union = F.col("du") + F.col("dv") - F.col("i")
+    return x.select(
+        "u", "v", F.col("i").cast("double").alias("common_neighbours"), F.col("aa").cast("double").alias("adamic_adar"),
+        F.when(union > 0, F.col("i") / union).otherwise(0.0).alias("jaccard"), (F.col("du") * F.col("dv")).cast("double").alias("preferential_attachment"),
+    )
 
 
 def path_power(pairs: DataFrame, adj: DataFrame, k: int = 5) -> DataFrame:

@@ -81,11 +81,19 @@ def drop_leaked(edges: DataFrame, held_out: DataFrame) -> DataFrame:
 def validation_slice(train: DataFrame, share: float = 0.15) -> DataFrame:
     """(u, v, first_year, slice): the latest ``share`` of dated training pairs validates; undated ones fit.
 
-    Whole years are counted before ranks are given within the one year that is divided.
+    Whole years are counted first; ranks are given within the one year that is divided, in
+    ranges of u, so that no year is sorted in one task.
     """
     years = train.filter("first_year IS NOT NULL").groupBy("first_year").agg(F.count(F.lit(1)).alias("n"))
     later = F.sum("n").over(Window.orderBy(F.desc("first_year"))) - F.col("n")
-    years = years.select("first_year", later.alias("later"), F.sum("n").over(Window.partitionBy()).alias("total"))
-    rank = F.row_number().over(Window.partitionBy("first_year").orderBy("u", "v"))
-    placed = train.join(years, "first_year", "left").withColumn("place", F.col("later") + rank)
-    return placed.select("u", "v", "first_year", F.when(F.col("place") <= F.floor(F.col("total") * share), "validate").otherwise("fit").alias("slice"))
+    years = years.select("first_year", "n", later.alias("later"), F.sum("n").over(Window.partitionBy()).alias("total"))
+    room = F.floor(F.col("total") * share)
+    dated = train.join(F.broadcast(years), "first_year", "left")
+    whole = F.col("later") + F.col("n") <= room
+    cut = dated.filter((F.col("later") < room) & ~whole).withColumn("head", F.substring("u", 1, 4))
+    sizes = cut.groupBy("head").agg(F.count(F.lit(1)).alias("m"))
+    sizes = sizes.select("head", (F.sum("m").over(Window.orderBy("head")) - F.col("m")).alias("before"))
+    rank = F.row_number().over(Window.partitionBy("head").orderBy("u", "v"))
+    placed = cut.withColumn("rank", rank).join(sizes, "head").withColumn("slice", F.when(F.col("later") + F.col("before") + F.col("rank") <= room, "validate").otherwise("fit"))
+    rest = dated.filter(F.coalesce((F.col("later") >= room) | whole, F.lit(True))).withColumn("slice", F.when(whole, "validate").otherwise("fit"))
+    return rest.select("u", "v", "first_year", "slice").unionByName(placed.select("u", "v", "first_year", "slice"))

@@ -89,14 +89,14 @@ def ontology_match(spark, d):
 
 def _links(spark, d):
     """Part pairs of one order; channels from quantity, price and discount."""
-    x = table(spark, d, "lineitem").filter("l_orderkey % 5 = 0").select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount").withColumn("n", F.concat(F.lit("P"), "l_partkey"))
+    x = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount").withColumn("n", F.concat(F.lit("P"), "l_partkey"))
     a, b = x.alias("a"), x.alias("b")
     pair = a.join(b, (F.col("a.l_orderkey") == F.col("b.l_orderkey")) & (F.col("a.n") < F.col("b.n")))
     score = lambda e: F.floor(e).cast("int")
     return pair.select(F.col("a.n").alias("b"), F.col("b.n").alias("a"), score((F.col("a.l_quantity") + F.col("b.l_quantity")) * 9).alias("experimental"), score((F.col("a.l_extendedprice") + F.col("b.l_extendedprice")) / 200).alias("coexpression"), score(F.greatest("a.l_discount", "b.l_discount") * 9000).alias("database"))
 
 
-_LINKS = """WITH x AS (SELECT l_orderkey, 'P' || l_partkey AS n, l_quantity AS q, l_extendedprice AS e, l_discount AS d FROM lineitem WHERE l_orderkey % 5 = 0),
+_LINKS = """WITH x AS (SELECT l_orderkey, 'P' || l_partkey AS n, l_quantity AS q, l_extendedprice AS e, l_discount AS d FROM lineitem),
   links AS (SELECT a.n AS a, b.n AS b, floor((a.q + b.q) * 9)::INTEGER AS experimental, floor((a.e + b.e) / 200)::INTEGER AS coexpression, floor(greatest(a.d, b.d) * 9000)::INTEGER AS database FROM x a JOIN x b ON a.l_orderkey = b.l_orderkey AND a.n < b.n)"""
 
 
@@ -127,12 +127,12 @@ def evidence_confidence(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(ingest.confidence(level, rating), 6).alias("confidence"))
 
 
-_KINDS = [("Predictive", "Sensitivity/Response"), ("Predictive", "Resistance"), ("Prognostic", "Poor Outcome"), ("Diagnostic", "Positive"), ("Functional", "Unknown")]
+_KINDS = [*ingest.PREDICATES, ("Functional", "Unknown")]
 
 
 def _evidence(spark, d):
-    kind = F.element_at(F.array(*[F.struct(F.lit(a).alias("t"), F.lit(b).alias("s")) for a, b in _KINDS]), (F.col("l_linenumber") % 5 + 1).cast("int"))
-    x = table(spark, d, "lineitem").filter("l_quantity = 1").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    kind = F.element_at(F.array(*[F.struct(F.lit(a).alias("t"), F.lit(b).alias("s")) for a, b in _KINDS]), ((F.col("l_orderkey") + F.col("l_linenumber")) % 11 + 1).cast("int"))
+    x = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     return x.select(
         F.concat_ws("-", F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")).alias("evidence_id"), F.concat(F.lit("V:"), "l_partkey").alias("subject"), kind["t"].alias("evidence_type"), kind["s"].alias("significance"),
         F.when(F.col("l_returnflag") != "N", F.upper(F.col("p_type"))).alias("disease"), F.when(F.col("l_tax") > 0.02, ingest.values(F.concat_ws(" , ", F.col("p_brand"), F.lit(""), F.concat(F.lit("S"), "l_suppkey")))).otherwise(F.array().cast("array<string>")).alias("therapies"),
@@ -140,8 +140,8 @@ def _evidence(spark, d):
     )
 
 
-@query("""WITH e AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS id, 'V:' || l_partkey AS subject, l_linenumber % 5 AS k, CASE WHEN l_returnflag <> 'N' THEN upper(p_type) END AS disease, CASE WHEN l_tax > 0.02 THEN [p_brand, 'S' || l_suppkey] ELSE [] END AS th, l_discount > 0.08 AS late, l_linestatus = 'O' AS negated FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity = 1),
-  k AS (SELECT *, CASE k WHEN 0 THEN 'SENSITIVE_TO' WHEN 1 THEN 'RESISTANT_TO' WHEN 2 THEN 'POOR_PROGNOSIS' WHEN 3 THEN 'DIAGNOSTIC_FOR' ELSE 'ASSOCIATED_WITH' END AS p, k < 2 AND len(th) > 0 AS is_t FROM e),
+@query("""WITH e AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS id, 'V:' || l_partkey AS subject, (l_orderkey + l_linenumber) % 11 AS k, CASE WHEN l_returnflag <> 'N' THEN upper(p_type) END AS disease, CASE WHEN l_tax > 0.02 THEN [p_brand, 'S' || l_suppkey] ELSE [] END AS th, l_discount > 0.08 AS late, l_linestatus = 'O' AS negated FROM lineitem JOIN part ON l_partkey = p_partkey),
+  k AS (SELECT *, CASE k WHEN 0 THEN 'SENSITIZES_TO' WHEN 1 THEN 'RESISTANT_TO' WHEN 2 THEN 'RESISTANT_TO' WHEN 3 THEN 'RESISTANT_TO' WHEN 4 THEN 'PREDICTS_POOR_OUTCOME' WHEN 5 THEN 'PREDICTS_BETTER_OUTCOME' WHEN 6 THEN 'DIAGNOSTIC_FOR' WHEN 7 THEN 'EXCLUDES_DIAGNOSIS' WHEN 8 THEN 'PREDISPOSES_TO' WHEN 9 THEN 'CAUSES' ELSE 'ASSOCIATED_WITH' END AS p, k < 4 AND len(th) > 0 AS is_t FROM e),
   r AS (SELECT id, subject AS s, p, unnest(th) AS o, negated FROM k WHERE is_t UNION ALL SELECT id, subject, CASE WHEN is_t THEN 'ASSOCIATED_WITH' ELSE p END, disease, negated FROM k WHERE disease IS NOT NULL
     UNION ALL SELECT id, subject, 'PRESENTS_WITH', 'late', negated FROM k WHERE late UNION ALL SELECT id, unnest(th), 'TREATS', disease, negated FROM k WHERE disease IS NOT NULL)
   SELECT p AS predicate, negated, count(DISTINCT (id, p, s, o)) AS relations FROM r GROUP BY p, negated""")

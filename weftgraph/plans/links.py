@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.session import checkpointed
 from ..operators import graph, metrics, predict, sampling, split
-from ..sources.tables import CUTOFF, assertions, backbone
+from ..sources.tables import CUTOFF, assertions, backbone, main_lines, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -31,35 +31,48 @@ def split_pairs_frame(spark: SparkSession, d: str) -> DataFrame:
 
 
 class Holdout:
-    """Split, training graph and scored pairs; those that are used many times are written once."""
+    """Split, training graph and scored pairs; those that are used many times are written once.
 
-    def __init__(self, spark: SparkSession, d: str):
+    With ``validation`` the latest training pairs are the tests, and the graph is that of the others.
+    """
+
+    def __init__(self, spark: SparkSession, d: str, validation: bool = False):
         self.split = checkpointed(split_pairs_frame(spark, d))
         self.known = self.split.select("u", "v")
         self.train = self.split.filter("role IN ('train', 'backbone')")
-        self.adj = graph.adjacency(self.train.select("u", "v"))
         self.test = self.split.filter("role = 'test'").select("u", "v")
+        if validation:
+            cut = checkpointed(split.validation_slice(self.split.filter("role = 'train'")))
+            self.train = cut.filter("slice = 'fit'").select("u", "v").unionByName(self.split.filter("role = 'backbone'").select("u", "v"))
+            nodes = self.train.select(F.explode(F.array("u", "v")).alias("n")).distinct()
+            late = cut.filter("slice = 'validate'").select("u", "v")
+            self.test = late.join(nodes.select(F.col("n").alias("u")), "u", "left_semi").join(nodes.select(F.col("n").alias("v")), "v", "left_semi").select("u", "v")
+        self.adj = checkpointed(graph.adjacency(self.train.select("u", "v")))
 
     def pairs(self, degree_matched: bool = True) -> DataFrame:
         neg = sampling.negatives(self.test, self.adj, self.known, node_type, per_positive=2, seed=7, degree_matched=degree_matched)
         return checkpointed(self.test.withColumn("is_pos", F.lit(True)).unionByName(neg.withColumn("is_pos", F.lit(False))))
 
     def scores(self, *names: str) -> DataFrame:
-        pairs = self.pairs()
+        """(u, v, predictor, score, is_pos); predictors of shared neighbours and degrees come from one search."""
+        pairs, names = self.pairs(), names or tuple(predict.PREDICTORS)
+        near = [n for n in names if n in ("common_neighbours", "adamic_adar", "jaccard", "preferential_attachment")]
         out = None
-        for name in names or predict.PREDICTORS:
+        if len(near) > 1:
+            out = predict.neighbour_scores(pairs, self.adj).select("u", "v", F.explode(F.array(*[F.struct(F.lit(n).alias("predictor"), F.col(n).alias("score")) for n in near])).alias("x")).select("u", "v", "x.score", "x.predictor")
+        for name in names if out is None else [n for n in names if n not in near]:
             one = predict.PREDICTORS[name](pairs, self.adj).withColumn("predictor", F.lit(name))
             out = one if out is None else out.unionByName(one)
         return out.withColumn("score", F.round("score", 9)).join(pairs, ["u", "v"])
 
 
 #: Oracle building blocks, DuckDB.
-ASSERT = """assertions AS (SELECT 'C:' || o_custkey AS subject, 'P:' || l_partkey AS object, CAST(year(o_orderdate) AS INTEGER) AS year, l_returnflag AS predicate, 1 - l_discount AS confidence, l_linestatus = 'O' AS negated
-    FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 41),
+MAIN = "(SELECT l_orderkey, max((l_extendedprice, l_partkey, l_suppkey, l_linenumber, l_returnflag, l_discount, l_linestatus)) AS m FROM lineitem GROUP BY 1) JOIN orders ON l_orderkey = o_orderkey"
+ASSERT = f"""assertions AS (SELECT 'C:' || o_custkey AS subject, 'P:' || m[2] AS object, CAST(year(o_orderdate) AS INTEGER) AS year, m[5] AS predicate, 1 - m[6] AS confidence, m[7] = 'O' AS negated FROM {MAIN}),
   pairs AS (SELECT least(subject, object) AS u, greatest(subject, object) AS v, * FROM assertions WHERE subject <> object)"""
 SPLIT = f"""WITH {ASSERT},
   first AS (SELECT u, v, min(year) AS first_year FROM pairs GROUP BY u, v),
-  fixed AS (SELECT DISTINCT 'P:' || l_partkey AS u, 'S:' || l_suppkey AS v FROM lineitem WHERE l_quantity = 50 AND l_returnflag = 'R'),
+  fixed AS (SELECT 'P:' || l_partkey AS u, 'S:' || max((n, l_suppkey))[2] AS v FROM (SELECT l_partkey, l_suppkey, count(*) AS n FROM lineitem GROUP BY 1, 2) GROUP BY l_partkey),
   known0 AS (SELECT u, v FROM first WHERE first_year < {CUTOFF} UNION SELECT u, v FROM fixed),
   nodes AS (SELECT u AS n FROM known0 UNION SELECT v FROM known0),
   split AS (SELECT coalesce(f.u, x.u) AS u, coalesce(f.v, x.v) AS v, first_year,
@@ -189,8 +202,8 @@ _PCT = """, r AS (SELECT predictor, u, v, is_pos, score, count(*) FILTER (WHERE
   pct AS (SELECT u, v, is_pos, max(CASE WHEN predictor = 'l3_paths' THEN (2 * upto - tied) / (2.0 * n) END) AS a, max(CASE WHEN predictor <> 'l3_paths' THEN (2 * upto - tied) / (2.0 * n) END) AS b FROM r GROUP BY u, v, is_pos)"""
 
 
-def _blend(spark, d):
-    scored = checkpointed(Holdout(spark, d).scores("preferential_attachment", "l3_paths"))
+def _blend(spark, d, validation: bool = False):
+    scored = checkpointed(Holdout(spark, d, validation).scores("preferential_attachment", "l3_paths"))
     pct = metrics.percentiles(scored, scored.filter("NOT is_pos"), "predictor")
     one = lambda n: F.max(F.when(F.col("predictor") == n, F.col("pct")))
     return pct.groupBy("u", "v", "is_pos").agg(one("l3_paths").alias("a"), one("preferential_attachment").alias("b"))
@@ -201,10 +214,15 @@ def percentile_blend(spark, d):
     return _blend(spark, d).select("u", "v", "is_pos", F.round(0.6 * F.col("a") + 0.4 * F.col("b"), 6).alias("score"))
 
 
-@query(SCORED + _PCT + ", scored2 AS (SELECT u, v, is_pos, weight, round(weight * a + (1 - weight) * b, 9) AS score FROM pct, (SELECT unnest([0.25, 0.4, 0.5, 0.6, 0.75])::DOUBLE AS weight))" + RANKED.format(g="weight").replace("ranked AS", "ranked2 AS").replace("FROM scored)", "FROM scored2)") + " SELECT weight, round(sum(2 * (upto - tied) + tied) / (2.0 * count(*) * max(n)), 6) AS auc FROM ranked2 WHERE is_pos GROUP BY weight")
+VALIDATION = SPLIT.replace("train AS (SELECT u, v FROM split WHERE role IN ('train', 'backbone'))", """late AS (SELECT u, v, row_number() OVER (ORDER BY first_year DESC, u, v) AS k, count(*) OVER () AS n FROM split WHERE role = 'train'),
+  train AS (SELECT u, v FROM late WHERE k > floor(n * 0.15) UNION ALL SELECT u, v FROM split WHERE role = 'backbone')""").replace("test AS (SELECT u, v FROM split WHERE role = 'test')", "test AS (SELECT u, v FROM late WHERE k <= floor(n * 0.15) AND u IN (SELECT node FROM deg) AND v IN (SELECT node FROM deg))")
+
+
+@query(SCORED.replace(SPLIT, VALIDATION) + _PCT + ", scored2 AS (SELECT u, v, is_pos, weight, round(weight * a + (1 - weight) * b, 9) AS score FROM pct, (SELECT unnest([0.25, 0.4, 0.5, 0.6, 0.75])::DOUBLE AS weight))" + RANKED.format(g="weight").replace("ranked AS", "ranked2 AS").replace("FROM scored)", "FROM scored2)") + " SELECT weight, round(sum(2 * (upto - tied) + tied) / (2.0 * count(*) * max(n)), 6) AS auc FROM ranked2 WHERE is_pos GROUP BY weight")
 def blend_weight_search(spark, d):
+    """AUC of each weight on the latest training pairs; the test pairs take no part."""
     grid = F.explode(F.array(*[F.lit(w) for w in (0.25, 0.4, 0.5, 0.6, 0.75)])).alias("weight")
-    x = _blend(spark, d).select("u", "v", "is_pos", "a", "b", grid)
+    x = _blend(spark, d, validation=True).select("u", "v", "is_pos", "a", "b", grid)
     x = x.withColumn("score", F.round(F.col("weight") * F.col("a") + (1 - F.col("weight")) * F.col("b"), 9))
     return metrics.ranking(x, "weight").select("weight", "auc")
 
@@ -228,11 +246,9 @@ def candidate_pairs(spark, d):
   SELECT k::INTEGER AS depth, count(*) FILTER (WHERE hit)::BIGINT AS hits, round(count(*) FILTER (WHERE hit) / least(k, n), 6) AS precision, round(count(*) FILTER (WHERE hit) / least(k, n) / base, 6) AS lift FROM (SELECT unnest([10, 50, 100, 500, 1000]) AS k), b, r WHERE rank <= k GROUP BY k, n, base""")
 def precision_at_depth(spark, d):
     h = Holdout(spark, d)
-    scored = predict.l3_paths(_candidates(spark, h), h.adj).withColumn("score", F.round("score", 9))
+    scored = graph.scored_candidates(h.adj, "C", "P", node_type, h.train).withColumn("score", F.round("score", 9))
     hit = checkpointed(scored).join(h.test.withColumn("hit", F.lit(True)), ["u", "v"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
     top = hit.orderBy(F.desc("score"), "u", "v").limit(1000)
-    from pyspark.sql import Window
-
     # only the report's depth is ranked; the base rate is that of all candidates
     ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "u", "v"))).select("rank", "hit")
     base = hit.agg(F.avg(F.col("hit").cast("double")).alias("base"), F.count(F.lit(1)).alias("n"))
@@ -247,14 +263,12 @@ def graph_statistics(spark, d):
     return graph.statistics(split_pairs_frame(spark, d), "role", node_type)
 
 
-@query(SPLIT + """, cc AS (SELECT DISTINCT o_custkey, l_partkey, l_suppkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 49), e0 AS (SELECT 'C' || o_custkey AS u, 'P' || l_partkey AS v FROM cc UNION SELECT 'P' || l_partkey, 'S' || l_suppkey FROM cc UNION SELECT 'C' || o_custkey, 'S' || l_suppkey FROM cc),
+@query(SPLIT + """, cc AS (SELECT DISTINCT o_custkey, m[2] AS l_partkey, m[3] AS l_suppkey FROM """ + MAIN + """), e0 AS (SELECT 'C' || o_custkey AS u, 'P' || l_partkey AS v FROM cc UNION SELECT 'P' || l_partkey, 'S' || l_suppkey FROM cc UNION SELECT 'C' || o_custkey, 'S' || l_suppkey FROM cc),
   a2 AS (SELECT u AS node, v AS nbr FROM e0 UNION SELECT v, u FROM e0), d2 AS (SELECT node, count(*) AS deg FROM a2 GROUP BY node), t AS (SELECT a.node, count(*) AS t FROM a2 a JOIN a2 b ON a.node = b.node AND a.nbr < b.nbr JOIN a2 c ON c.node = a.nbr AND c.nbr = b.nbr GROUP BY a.node)
   SELECT count(*) AS nodes, sum(coalesce(t, 0))::BIGINT AS corners, round(avg(CASE WHEN deg > 1 THEN 2.0 * coalesce(t, 0) / (deg * (deg - 1)) ELSE 0 END), 6) AS average FROM d2 LEFT JOIN t USING (node)""")
 def avg_clustering(spark, d):
-    from ..sources.tables import table
-
-    x = table(spark, d, "lineitem").filter("l_quantity >= 49").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    c, p, s = (F.concat(F.lit(k), col) for k, col in (("C", "o_custkey"), ("P", "l_partkey"), ("S", "l_suppkey")))
+    x = main_lines(spark, d)
+    c, p, s = (F.concat(F.lit(k), col) for k, col in (("C", "o_custkey"), ("P", "m.l_partkey"), ("S", "m.l_suppkey")))
     edges = x.select(F.explode(F.array(F.struct(c.alias("u"), p.alias("v")), F.struct(p.alias("u"), s.alias("v")), F.struct(c.alias("u"), s.alias("v")))).alias("e")).select("e.*")
     k = graph.clustering(graph.adjacency(edges))
     return k.agg(F.count(F.lit(1)).alias("nodes"), F.sum("triangles").alias("corners"), F.round(F.avg("coefficient"), 6).alias("average"))
@@ -275,11 +289,9 @@ def edge_type_diagnostics(spark, d):
     return x.agg(F.round(edges, 6).alias("same_type_edges"), F.round(tests, 6).alias("cross_type_tests"), F.coalesce((edges < 0.05) & (tests > 0.9), F.lit(False)).alias("multipartite"))
 
 
-@query(SPLIT + ", e AS (SELECT DISTINCT 'C:' || o_custkey AS u, 'P:' || l_partkey AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity <= 2) SELECT u, v, (u, v) IN (SELECT u, v FROM test) AS leaked FROM e")
+@query(SPLIT + ", e AS (SELECT DISTINCT 'C:' || o_custkey AS u, 'P:' || l_partkey AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey) SELECT u, v, (u, v) IN (SELECT u, v FROM test) AS leaked FROM e")
 def leakage_guard(spark, d):
-    from ..sources.tables import table
-
-    x = table(spark, d, "lineitem").filter("l_quantity <= 2").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    x = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     reversed_ = x.select(F.concat(F.lit("P:"), "l_partkey").alias("u"), F.concat(F.lit("C:"), "o_custkey").alias("v"))
     return split.drop_leaked(reversed_, Holdout(spark, d).test)
 
@@ -291,8 +303,6 @@ def consensus_rank(spark, d):
     x = Holdout(spark, d).test.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(2))))
     key = F.concat(F.substring(F.md5(F.concat_ws("|", F.col("seed").cast("string"), "u", "v")), 1, 8))
     x = x.withColumn("key", key).withColumn("bucket", F.substring("key", 1, 2))
-    from pyspark.sql import Window
-
     sizes = x.groupBy("seed", "bucket").agg(F.count(F.lit(1)).alias("n"))
     sizes = sizes.select("seed", "bucket", (F.sum("n").over(Window.partitionBy("seed").orderBy(F.desc("bucket"))) - F.col("n")).alias("before"))
     rank = F.row_number().over(Window.partitionBy("seed", "bucket").orderBy(F.desc("key"), "u", "v"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import graph, literature, metrics, resolve, retrieve, sampling, score
-from ..sources.tables import table
+from ..sources.tables import main_lines, table
+from .links import MAIN
 
 QUERIES, ORACLES = {}, {}
 
@@ -35,14 +37,15 @@ def sentence_split(spark, d):
     return table(spark, d, "documents").select("doc_id", T.sentences(F.col("text")).alias("s")).select("doc_id", F.size("s").cast("long").alias("n"), F.md5(F.array_join("s", "|")).alias("digest"))
 
 
-_HEADERS = ("the", "thes", "of", "la", "le", "der", "die", "el")
-
-
-@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS pos FROM documents),
-  h AS (SELECT *, nullif(regexp_extract(lower(line), '^\\s*(thes|the|of|la|le|der|die|el)', 1), '') AS header FROM l),
+@query("""WITH l0 AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS pos FROM documents),
+  l AS (SELECT doc_id, pos, ['', 'Abstract', '', 'INTRODUCTION ', 'methods: ', '  MATERIALS AND METHODS', 'Results. ', '', 'CONCLUSIONS ', 'References', 'Acknowledgments '][(doc_id + pos) % 11 + 1] || line AS line FROM l0),
+  h AS (SELECT *, nullif(lower(regexp_extract(line, '^\\s*(ACKNOWLEDGMENTS|Acknowledgments|MATERIALS AND METHODS|INTRODUCTION|Introduction|CONCLUSIONS|DISCUSSION|Discussion|CONCLUSION|Conclusion|REFERENCES|References|ABSTRACT|Abstract|METHODS|Methods|RESULTS|Results)', 1)), '') AS header FROM l),
   s AS (SELECT *, last_value(header IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS section FROM h) SELECT doc_id, section, count(*) AS lines, sum(length(line))::BIGINT AS chars FROM s GROUP BY 1, 2""")
 def section_labels(spark, d):
-    x = literature.sections(table(spark, d, "documents"), _HEADERS)
+    """Documents with a header, or none, put before each line in turn, as the invented prose has none."""
+    heads = F.array(*[F.lit(h) for h in ("", "Abstract", "", "INTRODUCTION ", "methods: ", "  MATERIALS AND METHODS", "Results. ", "", "CONCLUSIONS ", "References", "Acknowledgments ")])
+    text = F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.get(heads, ((F.col("doc_id") + i) % 11).cast("int")), x)), "\n")
+    x = literature.sections(table(spark, d, "documents").select("doc_id", text.alias("text")), T.SECTIONS)
     return x.groupBy("doc_id", "section").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("line")).cast("long").alias("chars"))
 
 
@@ -76,21 +79,20 @@ def word_offsets(spark, d):
     return x.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("end") - F.col("start")).cast("long").alias("chars"))
 
 
-_PHRASES = ("is caused by", "activates and", "is not treated with", "treats", "near", "inhibits", "binds")
-
-
-def _phrase(column: str):
-    return F.element_at(F.array(*[F.lit(p) for p in _PHRASES]), (F.col(column) % 7 + 1).cast("int"))
+_PHRASES = (*[t for t, _, _ in T.TRIGGERS], "is not treated with", "near", "responds to and treats", "causes, rather than")
 
+#: What each phrase is to give, written out apart from the operator's table.
+_EXPECTED = """(VALUES (0, 'TREATS', 1), (1, 'TREATS', 1), (2, 'TREATS', 1), (3, 'SENSITIZES_TO', 0), (4, 'RESISTANT_TO', 0), (5, 'TREATS', 0), (6, 'TREATS', 0), (7, 'TREATS', 0), (8, 'INHIBITS', 0), (9, 'INHIBITS', 0), (10, 'INHIBITS', 0), (11, 'INHIBITS', 0),
+  (12, 'ACTIVATES', 0), (13, 'ACTIVATES', 0), (14, 'ACTIVATES', 0), (15, 'CAUSES', 0), (16, 'CAUSES', 0), (17, 'CAUSES', 0), (18, 'CAUSES', 0), (19, 'CAUSES', 0), (20, 'CAUSES', 0), (21, 'MUTATED_IN', 0), (22, 'MUTATED_IN', 1), (23, 'EXPRESSED_IN', 0), (24, 'EXPRESSED_IN', 0),
+  (25, 'INTERACTS_WITH', 0), (26, 'INTERACTS_WITH', 0), (27, 'ASSOCIATED_WITH', 0), (28, 'ASSOCIATED_WITH', 0), (29, 'ASSOCIATED_WITH', 0), (30, 'ASSOCIATED_WITH', 0), (31, 'ASSOCIATED_WITH', 0), (32, 'PREDICTS', 0), (33, 'PREDICTS', 0), (36, 'TREATS', 1)) AS w(k, predicate, swap)"""
 
-_PHRASE_SQL = "[" + ", ".join(f"'{p}'" for p in _PHRASES) + "][l_linenumber % 7 + 1]"
 
-
-@query(f"""WITH x AS (SELECT l_orderkey || '/' || l_linenumber || '/' || l_partkey || '/' || l_suppkey AS doc_id, p_name AS a, 'S' || l_suppkey AS b, {_PHRASE_SQL} AS p FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity = 7)
-  SELECT DISTINCT doc_id, CASE WHEN p = 'is caused by' THEN b ELSE a END AS subject, CASE p WHEN 'is caused by' THEN 'CAUSES' WHEN 'activates and' THEN 'ACTIVATES' WHEN 'treats' THEN 'TREATS' WHEN 'inhibits' THEN 'INHIBITS' ELSE 'BINDS' END AS predicate, CASE WHEN p = 'is caused by' THEN a ELSE b END AS object, 0.75 AS confidence FROM x WHERE p NOT IN ('near', 'is not treated with')""")
+@query(f"""WITH x AS (SELECT l_orderkey || '/' || l_linenumber || '/' || l_partkey || '/' || l_suppkey AS doc_id, p_name AS a, 'S' || l_suppkey AS b, (l_orderkey + l_linenumber) % 38 AS k FROM lineitem JOIN part ON l_partkey = p_partkey)
+  SELECT DISTINCT doc_id, CASE WHEN swap = 1 THEN b ELSE a END AS subject, predicate, CASE WHEN swap = 1 THEN a ELSE b END AS object, 0.75::DOUBLE AS confidence FROM x JOIN {_EXPECTED} USING (k)""")
 def trigger_relations(spark, d):
-    x = table(spark, d, "lineitem").filter("l_quantity = 7").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    b, p = F.concat(F.lit("S"), "l_suppkey"), _phrase("l_linenumber")
+    x = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    p = F.element_at(F.array(*[F.lit(p) for p in _PHRASES]), ((F.col("l_orderkey") + F.col("l_linenumber")) % 38 + 1).cast("int"))
+    b = F.concat(F.lit("S"), "l_suppkey")
     x = x.select(F.concat_ws("/", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("doc_id"), F.lit(0).alias("sentence"), F.col("p_name").alias("a"), b.alias("b"), F.concat_ws(" ", "p_name", p, b).alias("text")).distinct()
     n = F.length("text")
     spans = F.array(F.struct(F.lit(0).alias("start"), F.length("a").alias("end"), F.col("a").alias("text")), F.struct((n - F.length("b")).alias("start"), n.alias("end"), F.col("b").alias("text")))
@@ -98,10 +100,10 @@ def trigger_relations(spark, d):
     return literature.trigger_relations(x.select("doc_id", "sentence", "text"), mentions).select("doc_id", "subject", "predicate", "object", F.col("confidence").cast("double"))
 
 
-@query("""WITH n AS (SELECT l_orderkey AS doc_id, p_name FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 4 = 0) SELECT doc_id, 'N:' || p_name AS node_id, count(*) AS n FROM n GROUP BY 1, 2""")
+@query("""WITH n AS (SELECT l_orderkey AS doc_id, p_name FROM lineitem JOIN part ON l_partkey = p_partkey) SELECT doc_id, 'N:' || p_name AS node_id, count(*) AS n FROM n GROUP BY 1, 2""")
 def alias_mentions(spark, d):
     part = table(spark, d, "part")
-    x = table(spark, d, "lineitem").filter("l_orderkey % 4 = 0").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    x = table(spark, d, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
     docs = x.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_join(F.sort_array(F.collect_list(F.upper("p_name"))), " and; ").alias("text"))
     names = part.select(F.col("p_name").alias("alias"), F.concat(F.lit("N:"), "p_name").alias("node_id")).distinct()
     single = part.select(F.element_at(F.split("p_name", " "), -1).alias("alias")).distinct().select("alias", F.concat(F.lit("W:"), "alias").alias("node_id"))
@@ -113,19 +115,24 @@ def context_window(spark, d):
     return table(spark, d, "documents").select("doc_id", T.context_window(F.col("text"), F.lit(120), F.lit(100), 100).alias("context"))
 
 
-@query("""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9\\-]{2,}')) AS w, unnest(range(0, len(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9\\-]{2,}')))) AS i FROM documents WHERE lang = 'en'),
-  f AS (SELECT doc_id, lower(w) AS w, min(i) AS i FROM w WHERE lower(w) NOT IN ('the', 'and', 'for', 'with', 'that', 'this', 'was', 'are') GROUP BY 1, 2) SELECT doc_id, count(*) AS n, md5(string_agg(w, ' ' ORDER BY i)) AS terms FROM f GROUP BY 1""")
+@query("""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9\\-]{2,}')) AS w, unnest(range(0, len(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9\\-]{2,}')))) AS i FROM documents),
+  f AS (SELECT doc_id, lower(w) AS w, min(i) AS i FROM w WHERE lower(w) NOT IN ('the', 'and', 'for', 'with', 'that', 'this', 'may', 'are', 'was', 'were', 'have', 'has', 'from', 'into', 'than', 'then', 'its', 'increase', 'increases', 'decrease', 'decreases', 'contributes') GROUP BY 1, 2) SELECT doc_id, count(*) AS n, md5(string_agg(w, ' ' ORDER BY i)) AS terms FROM f GROUP BY 1""")
 def hypothesis_terms(spark, d):
     """Distinct terms in order of first occurrence, stop words dropped."""
-    x = table(spark, d, "documents").filter("lang = 'en'").select("doc_id", F.array_distinct(F.filter(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9][a-z0-9\\-]{2,})"), 1), lambda w: ~w.isin("the", "and", "for", "with", "that", "this", "was", "are"))).alias("t"))
+    x = table(spark, d, "documents").select("doc_id", F.array_distinct(F.filter(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9][a-z0-9\\-]{2,})"), 1), lambda w: ~w.isin(*T.STOP_WORDS))).alias("t"))
     return x.filter(F.size("t") > 0).select("doc_id", F.size("t").cast("long").alias("n"), F.md5(F.array_join("t", " ")).alias("terms"))
 
 
-@query("SELECT doc_id, NOT (contains(lower(text), 'pas ') OR contains(lower(text), 'nicht') OR contains(lower(text), ' no ')) AS supports, round((contains(lower(text), 'the')::INT + contains(lower(text), 'der')::INT + contains(lower(text), 'que')::INT) / 3, 6) AS relevance FROM documents")
+_AGAINST = ("no association", "not associated", "no significant", "not significant", "failed to", "did not", "no evidence", "no correlation", "contrary to", "refute", "contradict", "unable to replicate", "no effect", "absence of")
+
+
+@query("SELECT doc_id, NOT (" + " OR ".join(f"contains(low, '{c}')" for c in _AGAINST) + ") AS supports, round((contains(low, 'the')::INT + contains(low, 'der')::INT + contains(low, 'que')::INT) / 3, 6) AS relevance FROM (SELECT doc_id, lower(text) || [" + ", ".join(f"' {c}'" for c in ("", *_AGAINST)) + "][doc_id % 15 + 1] AS low FROM documents)")
 def support_classification(spark, d):
-    low = F.lower("text")
+    """Documents with one of the phrases, or none, added in turn, as the invented prose has none."""
+    ends = F.element_at(F.array(F.lit(""), *[F.lit(c) for c in T.CONTRADICTIONS]), (F.col("doc_id") % 15 + 1).cast("int"))
+    low = F.concat(F.lower("text"), F.lit(" "), ends)
     terms = F.array(*[F.lit(t) for t in ("the", "der", "que")])
-    cues = F.array(*[F.lit(t) for t in ("pas ", "nicht", " no ")])
+    cues = F.array(*[F.lit(t) for t in T.CONTRADICTIONS])
     return table(spark, d, "documents").select("doc_id", (~F.exists(cues, lambda c: F.contains(low, c))).alias("supports"), F.round(F.size(F.filter(terms, lambda t: F.contains(low, t))) / 3, 6).alias("relevance"))
 
 
@@ -137,10 +144,10 @@ def tfidf_cosine(spark, d):
     return literature.tfidf_cosine(p).withColumn("cosine", F.round("cosine", 6))
 
 
-@query("""WITH m AS (SELECT o_custkey AS doc_id, p_type AS term, row_number() OVER () AS k FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 40)
+@query("""WITH m AS (SELECT o_custkey AS doc_id, p_type AS term, row_number() OVER () AS k FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)
   SELECT least(a.term, b.term) AS a, greatest(a.term, b.term) AS b, count(*) AS n, least(count(*) / 10, 1.0)::DOUBLE AS weight FROM m a JOIN m b ON a.doc_id = b.doc_id AND a.k < b.k GROUP BY 1, 2 HAVING count(*) >= 2""")
 def cooccurrence(spark, d):
-    x = table(spark, d, "lineitem").filter("l_quantity >= 40").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    x = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     return literature.cooccurrence(x.select(F.col("o_custkey").alias("doc_id"), F.col("p_type").alias("term")))
 
 
@@ -155,13 +162,13 @@ def cooccurrence_patterns(spark, d):
     return literature.cooccurrence(m, 3).filter(F.substring("a", 1, 1) != F.substring("b", 1, 1)).select("a", "b", "n")
 
 
-_TERMS = "t AS (SELECT DISTINCT p_partkey AS entity, unnest(string_split(p_name, ' ')) AS term FROM part WHERE p_partkey % 5 = 0 UNION SELECT p_partkey, p_brand FROM part WHERE p_partkey % 5 = 0)"
+_TERMS = "t AS (SELECT DISTINCT p_partkey AS entity, unnest(string_split(p_name, ' ')) AS term FROM part UNION SELECT p_partkey, p_brand FROM part)"
 
 
 @query(f"""WITH {_TERMS}, b AS (SELECT a.entity AS a, b.entity AS b, string_agg(a.term, ' ' ORDER BY a.term) AS context FROM t a JOIN t b ON a.term = b.term AND a.entity < b.entity WHERE length(a.term) > 2 GROUP BY 1, 2)
   SELECT context, count(*) AS n_pairs, round(least(count(*) / 3, 1), 6)::DOUBLE AS strength FROM b GROUP BY 1 HAVING count(*) >= 2""")
 def shared_context_patterns(spark, d):
-    p = table(spark, d, "part").filter("p_partkey % 5 = 0")
+    p = table(spark, d, "part")
     t = p.select(F.col("p_partkey").alias("entity"), F.explode(F.concat(F.split("p_name", " "), F.array("p_brand"))).alias("term"))
     return literature.shared_context_patterns(t)
 
@@ -175,9 +182,9 @@ def pathway_missing_links(spark, d):
     return literature.missing_links(m, e)
 
 
-@query("SELECT user_id AS entity, count(DISTINCT day(ts) // 5) AS windows, (min(day(ts) // 5) * 5)::INTEGER AS first, (max(day(ts) // 5) * 5)::INTEGER AS last FROM events WHERE event_type = 'error' GROUP BY 1 HAVING count(DISTINCT day(ts) // 5) >= 2")
+@query("SELECT user_id AS entity, count(DISTINCT day(ts) // 5) AS windows, (min(day(ts) // 5) * 5)::INTEGER AS first, (max(day(ts) // 5) * 5)::INTEGER AS last FROM events GROUP BY 1 HAVING count(DISTINCT day(ts) // 5) >= 2")
 def emergence_windows(spark, d):
-    e = table(spark, d, "events").filter("event_type = 'error'").select(F.col("user_id").alias("entity"), F.dayofmonth("ts").alias("t"))
+    e = table(spark, d, "events").select(F.col("user_id").alias("entity"), F.dayofmonth("ts").alias("t"))
     return score.emergence(e, 5)
 
 
@@ -230,8 +237,6 @@ _LABEL = """, l AS (SELECT query_id, vec_id AS doc_id, row_number() OVER (PARTIT
 
 
 def _label_ranking(spark, d):
-    from pyspark.sql import Window
-
     v = table(spark, d, "embeddings").select("vec_id", "label")
     q = F.broadcast(v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql")))
     x = v.join(q, (F.col("label") == F.col("ql")) & (F.col("vec_id") > F.col("query_id")))
@@ -266,43 +271,40 @@ def score_threshold(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.round(retrieve.similarity(F.col("vec_id") % 7 / 3), 6).alias("similarity"))
 
 
-_EDGES = "e AS (SELECT 'C' || o_custkey AS u, 'P' || l_partkey AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 30), b AS (SELECT u AS node, v AS nbr FROM e UNION ALL SELECT v, u FROM e), g AS (SELECT node, count(*) AS deg FROM b GROUP BY 1)"
+_EDGES = "e AS (SELECT 'C' || o_custkey AS u, 'P' || m[2] AS v FROM " + MAIN + "), b AS (SELECT u AS node, v AS nbr FROM e UNION ALL SELECT v, u FROM e), g AS (SELECT node, count(*) AS deg FROM b GROUP BY 1)"
 
 
-@query(f"""WITH {_EDGES}, s AS (SELECT 'C' || c_custkey AS seed_set, 'C' || c_custkey AS node FROM customer WHERE c_custkey % 40 = 0), o AS (SELECT DISTINCT b.* FROM b JOIN g USING (node) WHERE deg <= 15),
+@query(f"""WITH {_EDGES}, s AS (SELECT 'C' || c_custkey AS seed_set, 'C' || c_custkey AS node FROM customer), o AS (SELECT DISTINCT b.* FROM b JOIN g USING (node) WHERE deg <= 15),
   h1 AS (SELECT DISTINCT seed_set, nbr AS node FROM s JOIN o USING (node) WHERE nbr <> seed_set), h2 AS (SELECT DISTINCT seed_set, nbr AS node FROM h1 JOIN o USING (node) WHERE nbr <> seed_set AND (seed_set, nbr) NOT IN (SELECT seed_set, node FROM h1))
   SELECT seed_set, node, 1 AS hop FROM h1 UNION ALL SELECT seed_set, node, 2 FROM h2""")
 def bfs_degree_capped(spark, d):
-    x = table(spark, d, "lineitem").filter("l_quantity >= 30").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    e = x.select(F.concat(F.lit("C"), "o_custkey").alias("u"), F.concat(F.lit("P"), "l_partkey").alias("v"))
+    e = main_lines(spark, d).select(F.concat(F.lit("C"), "o_custkey").alias("u"), F.concat(F.lit("P"), "m.l_partkey").alias("v"))
     s = F.concat(F.lit("C"), "c_custkey")
-    seeds = table(spark, d, "customer").filter("c_custkey % 40 = 0").select(s.alias("seed_set"), s.alias("node"))
+    seeds = table(spark, d, "customer").select(s.alias("seed_set"), s.alias("node"))
     return graph.neighbourhood(e, seeds, 2, 15)
 
 
-@query("""WITH j AS (SELECT l_suppkey AS query_id, 'w' || l_partkey AS node, l_orderkey AS doc_id FROM lineitem WHERE l_quantity >= 48), a AS (SELECT DISTINCT query_id, node FROM j WHERE doc_id % 2 = 0), x AS (SELECT DISTINCT query_id, doc_id % 100 AS doc_id, node FROM j)
+@query("""WITH j AS (SELECT l_suppkey AS query_id, 'w' || l_partkey AS node, l_orderkey AS doc_id FROM lineitem), a AS (SELECT DISTINCT query_id, node FROM j WHERE doc_id % 2 = 0), x AS (SELECT DISTINCT query_id, doc_id % 100 AS doc_id, node FROM j)
   SELECT query_id, doc_id, round(count(*) FILTER (WHERE (query_id, node) IN (SELECT query_id, node FROM a)) / sqrt(count(*)), 6) AS score FROM x GROUP BY 1, 2""")
 def context_ranking(spark, d):
-    j = table(spark, d, "lineitem").filter("l_quantity >= 48").select(F.col("l_suppkey").alias("query_id"), F.concat(F.lit("w"), "l_partkey").alias("node"), F.col("l_orderkey").alias("doc_id"))
+    j = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("query_id"), F.concat(F.lit("w"), "l_partkey").alias("node"), F.col("l_orderkey").alias("doc_id"))
     return retrieve.rank_contexts(j.withColumn("doc_id", F.col("doc_id") % 100).distinct(), j.filter("doc_id % 2 = 0").select("query_id", "node").distinct()).withColumn("score", F.round("score", 6))
 
 
-@query("SELECT l_suppkey AS query_id, count(DISTINCT l_partkey) AS n, string_agg(DISTINCT l_partkey::VARCHAR, ',' ORDER BY l_partkey::VARCHAR) AS docs FROM lineitem WHERE l_quantity >= 45 GROUP BY 1 HAVING count(DISTINCT l_partkey) >= 3 AND CAST('0x' || substr(md5('11|' || l_suppkey), 1, 8) AS BIGINT) % 2 = 0")
+@query("SELECT l_suppkey AS query_id, count(DISTINCT l_partkey) AS n, string_agg(DISTINCT l_partkey::VARCHAR, ',' ORDER BY l_partkey::VARCHAR) AS docs FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_partkey) >= 3 AND CAST('0x' || substr(md5('11|' || l_suppkey), 1, 8) AS BIGINT) % 2 = 0")
 def query_set(spark, d):
     """Queries with at least three distinct documents; half of them by a hash of seed and key."""
-    x = table(spark, d, "lineitem").filter("l_quantity >= 45").groupBy(F.col("l_suppkey").alias("query_id")).agg(F.array_sort(F.collect_set(F.col("l_partkey").cast("string"))).alias("d"))
+    x = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("query_id")).agg(F.array_sort(F.collect_set(F.col("l_partkey").cast("string"))).alias("d"))
     return x.filter((F.size("d") >= 3) & (sampling.draw(F.lit("11"), F.col("query_id").cast("string")) % 2 == 0)).select("query_id", F.size("d").cast("long").alias("n"), F.array_join("d", ",").alias("docs"))
 
 
 @query("""WITH r AS (SELECT b.item_id AS query_id, d.doc_id, d.text FROM benchmark b JOIN documents d ON contains(d.text, b.text)), k AS (SELECT query_id, doc_id FROM r WHERE NOT regexp_matches(lower(text), '(^|[^a-z0-9])(thor|here)([^a-z0-9]|$)'))
   SELECT query_id, count(*) AS kept, dense_rank() OVER (ORDER BY query_id)::INTEGER AS number FROM k GROUP BY 1""")
 def lexically_disjoint(spark, d):
-    """Judged documents that don't name a query's terms; benchmark passages are found by their first words' hash."""
-    from pyspark.sql import Window
-
+    """Judged documents that don't name a query's terms; benchmark passages are found by the hash of their first words and then compared."""
     docs, bench = table(spark, d, "documents"), table(spark, d, "benchmark")
-    lines = F.broadcast(bench.select(F.col("item_id").alias("query_id"), F.col("text").alias("needle")))
-    r = docs.join(lines, F.contains(F.col("text"), F.col("needle"))).select("query_id", "doc_id", "text")
+    r = literature.containing(docs.select("doc_id", "text"), bench.select(F.col("item_id").alias("query_id"), F.col("text").alias("needle")))
+    r = r.join(docs.select("doc_id", "text"), "doc_id")
     kept = r.filter(~F.lower("text").rlike("(^|[^a-z0-9])(thor|here)([^a-z0-9]|$)"))
     x = kept.groupBy("query_id").agg(F.count(F.lit(1)).alias("kept"))
     return x.withColumn("number", F.dense_rank().over(Window.orderBy("query_id")))
@@ -346,14 +348,16 @@ def uncertainty_split(spark, d):
     return score.uncertainty(m).select("item", *[F.round(c, 6).alias(c) for c in ("total", "aleatoric", "epistemic")])
 
 
-_TYPES = ("GENE", "DISEASE", "DRUG", "MUTATION", "PHENOTYPE")
-_RELS = ("TREATS", "CAUSES", "INHIBITS", "ASSOCIATED_WITH", "BINDS")
-
-
-@query("WITH x AS (SELECT o_orderkey, [" + ", ".join(f"'{t}'" for t in _TYPES) + "][o_orderkey % 5 + 1] AS a, [" + ", ".join(f"'{t}'" for t in _TYPES) + "][o_custkey % 5 + 1] AS b, [" + ", ".join(f"'{t}'" for t in _RELS) + "][o_orderkey % 5 + 1] AS p FROM orders) SELECT o_orderkey, round(least(1, CASE least(a, b) || '/' || greatest(a, b) " + " ".join(f"WHEN '{x}/{y}' THEN {p}" for (x, y), p in score.PAIR_PRIORS.items()) + " ELSE 0.3 END * CASE p " + " ".join(f"WHEN '{k}' THEN {f}" for k, f in score.RELATION_FACTORS.items()) + " ELSE 1 END), 6)::DOUBLE AS plausibility FROM x")
+@query("""WITH x AS (SELECT o_orderkey, ['GENE', 'DISEASE', 'DRUG', 'PROTEIN', 'PATHWAY', 'MUTATION', 'PHENOTYPE', 'FUSION'][o_orderkey % 8 + 1] AS a, ['GENE', 'DISEASE', 'DRUG', 'PROTEIN', 'PATHWAY', 'MUTATION', 'PHENOTYPE', 'FUSION'][o_custkey % 8 + 1] AS b,
+    ['TREATS', 'CAUSES', 'PREVENTS', 'INHIBITS', 'ACTIVATES', 'INTERACTS_WITH', 'ASSOCIATED_WITH', 'BINDS'][o_orderkey // 8 % 8 + 1] AS p FROM orders)
+  SELECT o_orderkey, round(least(1, CASE least(a, b) || '/' || greatest(a, b) WHEN 'DISEASE/GENE' THEN 0.8 WHEN 'DISEASE/DRUG' THEN 0.9 WHEN 'DRUG/GENE' THEN 0.7 WHEN 'DISEASE/PROTEIN' THEN 0.8 WHEN 'DISEASE/PATHWAY' THEN 0.6 WHEN 'GENE/GENE' THEN 0.5 WHEN 'PROTEIN/PROTEIN' THEN 0.6
+    WHEN 'DISEASE/MUTATION' THEN 0.8 WHEN 'DRUG/MUTATION' THEN 0.7 WHEN 'GENE/MUTATION' THEN 0.6 WHEN 'MUTATION/PHENOTYPE' THEN 0.6 WHEN 'MUTATION/MUTATION' THEN 0.5 WHEN 'DISEASE/FUSION' THEN 0.8 WHEN 'DRUG/FUSION' THEN 0.7 WHEN 'DISEASE/PHENOTYPE' THEN 0.7 ELSE 0.3 END::DOUBLE
+    * CASE p WHEN 'TREATS' THEN 1.2 WHEN 'CAUSES' THEN 1.1 WHEN 'PREVENTS' THEN 1.1 WHEN 'INTERACTS_WITH' THEN 0.9 WHEN 'ASSOCIATED_WITH' THEN 0.8 ELSE 1 END::DOUBLE), 6) AS plausibility FROM x""")
 def plausibility(spark, d):
-    pick = lambda xs, c: F.element_at(F.array(*[F.lit(x) for x in xs]), (F.col(c) % 5 + 1).cast("int"))
-    return table(spark, d, "orders").select("o_orderkey", F.round(score.plausibility(pick(_TYPES, "o_orderkey"), pick(_TYPES, "o_custkey"), pick(_RELS, "o_orderkey")), 6).alias("plausibility"))
+    types = ("GENE", "DISEASE", "DRUG", "PROTEIN", "PATHWAY", "MUTATION", "PHENOTYPE", "FUSION")
+    pick = lambda xs, i: F.element_at(F.array(*[F.lit(x) for x in xs]), (i % 8 + 1).cast("int"))
+    kind = pick((*score.RELATION_FACTORS, "BINDS"), F.floor(F.col("o_orderkey") / 8))
+    return table(spark, d, "orders").select("o_orderkey", F.round(score.plausibility(pick(types, F.col("o_orderkey")), pick(types, F.col("o_custkey")), kind), 6).alias("plausibility"))
 
 
 @query("SELECT p_partkey, round(0.4 * (p_size / 50) + 0.3 * (p_partkey % 10) / 10 + 0.2 * 0.5 + 0.1 * least((p_partkey % 6) / 3, 1), 6)::DOUBLE AS priority FROM part ORDER BY priority DESC, p_partkey LIMIT 20")

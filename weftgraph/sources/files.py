@@ -161,5 +161,9 @@ def format_report(df: DataFrame, limit: int = 50) -> str:
     return "\n".join("  ".join(v.ljust(w) for v, w in zip(r, widths, strict=True)).rstrip() for r in rows)
 
 
-def report_json(df: DataFrame) -> str:
-    return json.dumps([r.asDict(recursive=True) for r in df.limit(1000).collect()], default=str)
+def report_json(df: DataFrame, limit: int = 1000) -> str:
+    """A report's rows as JSON; a frame of more than ``limit`` rows is no report and raises."""
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} rows; write the frame as a table")
+    return json.dumps([r.asDict(recursive=True) for r in rows], default=str)

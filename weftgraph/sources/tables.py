@@ -21,21 +21,28 @@ def require_columns(df: DataFrame, *names: str) -> DataFrame:
     return df
 
 
-def assertions(spark: SparkSession, folder: str) -> DataFrame:
-    """Dated assertions customer - part: (subject, object, year, predicate, confidence, negated)."""
-    lines = table(spark, folder, "lineitem").filter("l_quantity >= 41").select("l_orderkey", "l_partkey", "l_returnflag", "l_discount", "l_linestatus")
+def main_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Each order's costliest line with its customer and date, from whole tables: (o_custkey, o_orderdate, m)."""
+    lines = table(spark, folder, "lineitem")
+    top = F.max(F.struct("l_extendedprice", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_discount", "l_linestatus")).alias("m")
     orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    return lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).select(
+    return lines.groupBy("l_orderkey").agg(top).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+
+
+def assertions(spark: SparkSession, folder: str) -> DataFrame:
+    """Dated assertions customer - part, one an order: (subject, object, year, predicate, confidence, negated)."""
+    return main_lines(spark, folder).select(
         F.concat(F.lit("C:"), "o_custkey").alias("subject"),
-        F.concat(F.lit("P:"), "l_partkey").alias("object"),
+        F.concat(F.lit("P:"), "m.l_partkey").alias("object"),
         F.year("o_orderdate").alias("year"),
-        F.col("l_returnflag").alias("predicate"),
-        (1 - F.col("l_discount")).alias("confidence"),
-        (F.col("l_linestatus") == "O").alias("negated"),
+        F.col("m.l_returnflag").alias("predicate"),
+        (1 - F.col("m.l_discount")).alias("confidence"),
+        (F.col("m.l_linestatus") == "O").alias("negated"),
     )
 
 
 def backbone(spark: SparkSession, folder: str) -> DataFrame:
-    """Undated edges part - supplier: (u, v)."""
-    lines = table(spark, folder, "lineitem").filter("l_quantity = 50 AND l_returnflag = 'R'")
-    return lines.select(F.concat(F.lit("P:"), "l_partkey").alias("u"), F.concat(F.lit("S:"), "l_suppkey").alias("v")).distinct()
+    """Undated edges part - supplier, each part's most frequent one: (u, v)."""
+    n = table(spark, folder, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.count(F.lit(1)).alias("n"))
+    top = n.groupBy("l_partkey").agg(F.max(F.struct("n", "l_suppkey")).alias("m"))
+    return top.select(F.concat(F.lit("P:"), "l_partkey").alias("u"), F.concat(F.lit("S:"), "m.l_suppkey").alias("v"))
