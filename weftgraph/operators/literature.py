@@ -141,6 +141,18 @@ def sections(docs: DataFrame, headers: tuple[str, ...]) -> DataFrame:
     return lines.withColumn("section", F.last(F.when(found != "", found), ignorenulls=True).over(w))
 
 
+def _window(w, k: int):
+    """The hash of k words of the array ``w`` from a place on."""
+    return lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(k)])
+
+
+def _windows(text, k: int):
+    """Hashes of all windows of k words; an array of one binds the split text, so that it isn't split again for each."""
+    words = F.array(F.struct(F.split(text, "\\s+").alias("w")))
+    each = lambda z: F.when(F.size(z["w"]) >= k, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(z["w"]) - k), _window(z["w"], k))))
+    return F.transform(words, each)[0]
+
+
 def containing(docs: DataFrame, needles: DataFrame, words: int = 3) -> DataFrame:
     """(query_id, doc_id) of documents (doc_id, text) that hold a needle (query_id, needle) as it is.
 
@@ -155,10 +167,8 @@ def containing(docs: DataFrame, needles: DataFrame, words: int = 3) -> DataFrame
         raise ValueError("a needle needs a whole word inside")
     out = None
     for k in sizes:
-        window = lambda i, k=k: F.xxhash64(*[F.get(F.col("w"), i + j) for j in range(k)])
-        heads = keyed.filter(F.col("k") == k).select("query_id", "needle", window(F.lit(1)).alias("h"))
-        each = docs.select("doc_id", split("text").alias("w")).filter(F.size("w") >= k)
-        each = each.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - k), window))).alias("h"))
+        heads = keyed.filter(F.col("k") == k).select("query_id", "needle", _window(F.col("w"), k)(F.lit(1)).alias("h"))
+        each = docs.select("doc_id", F.explode(_windows(F.col("text"), k)).alias("h"))
         met = each.join(heads, "h").select("query_id", "needle", "doc_id").distinct()
         found = met.join(docs, "doc_id").filter(F.contains("text", F.col("needle"))).select("query_id", "doc_id")
         out = found if out is None else out.unionByName(found)

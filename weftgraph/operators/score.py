@@ -16,7 +16,7 @@ def weighted(parts: dict[str, float]) -> Column:
     for name, w in parts.items():
         top = top + F.coalesce(F.col(name) * w, F.lit(0.0))
         bottom = bottom + F.when(F.col(name).isNotNull(), w).otherwise(0.0)
-    return clip(F.when(bottom > 0, top / bottom))
+    return F.when(bottom > 0, clip(top / bottom))
 
 
 def majority(votes: DataFrame, voters: int) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import curation, links, streams, texts
+from . import curation, discovery, links, streams, texts
 
-PARTS = (links, curation, texts, streams)
+PARTS = (links, curation, texts, discovery, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
