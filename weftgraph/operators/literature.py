@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.session import checkpointed
 from ..functions.text import NEGATIONS, NOT_GENES, TRIGGERS, WORD
 
 
@@ -123,12 +124,33 @@ def shared_context_patterns(terms: DataFrame, least: int = 2) -> DataFrame:
 
 
 def missing_links(members: DataFrame, edges: DataFrame, least: int = 3, first: int = 10) -> DataFrame:
-    """(pathway, a, b): member pairs without a directed edge, the first ``first`` of each pathway of ``least`` members or more."""
-    big = members.distinct().groupBy("pathway").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
-    m = members.distinct().join(big.select("pathway"), "pathway", "left_semi")
-    a, b = m.alias("a"), m.alias("b")
-    pairs = a.join(b, (F.col("a.pathway") == F.col("b.pathway")) & (F.col("a.member") < F.col("b.member"))).select("a.pathway", F.col("a.member").alias("a"), F.col("b.member").alias("b"))
-    open_ = pairs.join(edges.select(F.col("u").alias("a"), F.col("v").alias("b")), ["a", "b"], "left_anti")
+    """(pathway, a, b): member pairs without a directed edge, the first ``first`` of each pathway of ``least`` members or more.
+
+    A member's open pairs are those with later members less its edges among them, so pairs are formed
+    only for the at most ``first`` members that give the result. They are sought among the first
+    members of each pathway, and among more as long as a pathway has too few open pairs there.
+    """
+    m = members.distinct()
+    big = m.groupBy("pathway").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    m = checkpointed(m.filter("member IS NOT NULL").join(big.select("pathway"), "pathway", "left_semi"))
+    sizes = m.groupBy("pathway").agg(F.count(F.lit(1)).alias("n"))
+    order, among = Window.partitionBy("pathway").orderBy("member"), 2 * first
+    while True:
+        head = m.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= among)
+        head = checkpointed(head.join(sizes, "pathway").select("pathway", F.col("member").alias("a"), "r", "n"))
+        of = head.select(F.col("a").alias("u")).distinct()
+        out = edges.select("u", "v").join(F.broadcast(of) if head.count() <= 1 << 17 else of, "u", "left_semi").distinct()
+        pair = out.join(head.select("pathway", "a"), F.col("u") == F.col("a")).filter("v > a").select("pathway", "a", F.col("v").alias("b"))
+        linked = checkpointed(pair.join(m.select("pathway", F.col("member").alias("b")), ["pathway", "b"], "left_semi"))
+        taken = linked.groupBy("pathway", "a").agg(F.count(F.lit(1)).alias("k"))
+        left = head.join(taken, ["pathway", "a"], "left").withColumn("open", F.col("n") - F.col("r") - F.coalesce("k", F.lit(0)))
+        if left.groupBy("pathway", "n").agg(F.sum("open").alias("open")).filter((F.col("open") < first) & (F.col("n") > among)).isEmpty():
+            break
+        among *= 4
+    before = F.sum("open").over(Window.partitionBy("pathway").orderBy("a")) - F.col("open")
+    need = left.withColumn("before", before).filter((F.col("open") > 0) & (F.col("before") < first)).select("pathway", "a")
+    pairs = m.select("pathway", F.col("member").alias("b")).join(need, "pathway").filter("a < b")
+    open_ = pairs.join(linked, ["pathway", "a", "b"], "left_anti")
     return open_.withColumn("r", F.row_number().over(Window.partitionBy("pathway").orderBy("a", "b"))).filter(F.col("r") <= first).select("pathway", "a", "b")
 
 
