@@ -1,7 +1,8 @@
-"""Missing links against brute force, and without all pairs of a large group."""
+"""Shared contexts and missing links against brute force, and without all pairs of a large group."""
 
 import random
 import time
+from collections import Counter
 from itertools import combinations
 
 import pytest
@@ -9,6 +10,33 @@ import pytest
 from weftgraph.operators import literature
 
 
+def contexts(terms, least):
+    sets = {}
+    for e, t in terms:
+        if e is not None and t is not None and len(t) > 2:
+            sets.setdefault(e, set()).add(t)
+    n = Counter(" ".join(sorted(a & b)) for a, b in combinations(sets.values(), 2) if a & b)
+    return {c: k for c, k in n.items() if k >= least}
+
+
+@pytest.mark.parametrize("widest", [0, 2, 3, 10])
+def test_shared_contexts_equal_brute_force(spark, widest):
+    rng = random.Random(widest)
+    terms = [(e, t) for e in range(60) for t in rng.choices(["alpha", "beta", "gamma", "delta", "eps", "ze", "a b", "b cd", None], k=rng.randint(0, 6))] + [(None, "alpha"), (None, "beta")]
+    for least in (1, 2):
+        got = literature.shared_context_patterns(spark.createDataFrame(terms, "entity long, term string"), least, widest=widest).collect()
+        assert {r["context"]: r["n_pairs"] for r in got} == contexts(terms, least)
+        assert all(r["strength"] == round(min(r["n_pairs"] / 3, 1), 6) for r in got)
+
+
+def test_contexts_of_a_frequent_term_need_no_pairs(spark):
+    n, start = 60_000, time.time()
+    got = literature.shared_context_patterns(spark.range(n).selectExpr("id AS entity", "explode(array('common', IF(id % 2 = 0, 'even', 'odd'))) AS term")).collect()
+    half = n // 2 * (n // 2 - 1) // 2
+    assert {r["context"]: r["n_pairs"] for r in got} == {"common": n // 2 * (n // 2), "common even": half, "common odd": half}
+    assert time.time() - start < 90  # 1.8 billion pairs
+
+
 def links(members, edges, least, first):
     out = set()
     for p in {p for p, _ in members if p is not None}:

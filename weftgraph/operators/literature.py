@@ -110,16 +110,36 @@ def tfidf_cosine(pairs: DataFrame) -> DataFrame:
     return pairs.select("pair").join(scored, "pair", "left").select("pair", F.coalesce("cosine", F.lit(0.0)).alias("cosine"))
 
 
-def shared_context_patterns(terms: DataFrame, least: int = 2) -> DataFrame:
+def _subsets(terms):
+    """All subsets of an array but the empty one, each in the array's order."""
+    none = F.expr("array(CAST(array() AS array<string>))")
+    return F.filter(F.aggregate(terms, none, lambda a, x: F.concat(a, F.transform(a, lambda s: F.concat(s, F.array(x))))), lambda s: F.size(s) > 0)
+
+
+def shared_context_patterns(terms: DataFrame, least: int = 2, widest: int = 10) -> DataFrame:
     """(context, n_pairs, strength): pairs of entities of (entity, term) by the identical set of terms they share.
 
-    Pairs come from shared terms only; strength is min(n / 3, 1).
+    Entities of one set of terms are counted as one. Pairs that share at least a set follow from
+    its number of entities; those that share exactly it, by inclusion and exclusion over the sets
+    around it. So no pair is formed among sets of up to ``widest`` terms; wider ones meet all
+    others in a join. Strength is min(n / 3, 1).
     """
-    t = terms.filter(F.length("term") > 2).distinct()
-    a, b = t.alias("a"), t.alias("b")
-    both = a.join(b, (F.col("a.term") == F.col("b.term")) & (F.col("a.entity") < F.col("b.entity")))
-    sets = both.groupBy(F.col("a.entity").alias("a"), F.col("b.entity").alias("b")).agg(F.array_join(F.sort_array(F.collect_set("a.term")), " ").alias("context"))
-    x = sets.groupBy("context").agg(F.count(F.lit(1)).alias("n_pairs"))
+    t = terms.filter((F.length("term") > 2) & F.col("entity").isNotNull()).select("entity", "term").distinct()
+    sets = t.groupBy("entity").agg(F.sort_array(F.collect_list("term")).alias("terms")).groupBy("terms").agg(F.count(F.lit(1)).alias("n"))
+    sets = checkpointed(sets.withColumn("id", F.monotonically_increasing_id()))
+    wide = F.size("terms") > widest
+    within = sets.filter(~wide).select(F.explode(_subsets(F.col("terms"))).alias("s"), "n").groupBy("s").agg(F.sum("n").alias("n")).filter("n > 1")
+    sign = F.when((F.size("t") - F.size("s")) % 2 == 0, 1).otherwise(-1)
+    split = within.select(F.col("s").alias("t"), (F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("n")).select("t", "n", F.explode(_subsets(F.col("t"))).alias("s"))
+    exact = split.groupBy("s").agg(F.sum(F.col("n") * sign).alias("n"))
+    if not sets.filter(wide).isEmpty():
+        own = sets.filter(wide).select(F.col("terms").alias("s"), (F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("n"))
+        a = sets.filter(wide).select("id", "n", F.explode("terms").alias("term")).alias("a")
+        b = sets.select("id", "n", wide.alias("wide"), F.explode("terms").alias("term")).alias("b")
+        met = a.join(b, (F.col("a.term") == F.col("b.term")) & (~F.col("b.wide") | (F.col("a.id") < F.col("b.id"))))
+        two = met.groupBy("a.id", "b.id").agg(F.sort_array(F.collect_list("a.term")).alias("s"), F.max(F.col("a.n") * F.col("b.n")).alias("n")).select("s", "n")
+        exact = exact.unionByName(own).unionByName(two)
+    x = exact.groupBy(F.array_join("s", " ").alias("context")).agg(F.sum("n").alias("n_pairs"))
     return x.filter(F.col("n_pairs") >= least).withColumn("strength", F.round(F.least(F.col("n_pairs") / 3, F.lit(1.0)), 6))
 
 
