@@ -55,7 +55,7 @@ def classes(counts: np.ndarray, starts: np.ndarray, company: np.ndarray | None,
             x = np.sqrt(company[rest] + 1e-3)
             x /= np.linalg.norm(x, axis=1, keepdims=True)
             k = min(clusters, len(rest))
-            centres = fit_centres(x[: 1 << 14], k)
+            centres = fit_centres(x, k)
             of[rest] = own + kind * clusters + np.concatenate([(x[at : at + 4096] @ centres.T).argmax(axis=1) for at in range(0, len(x), 4096)])
         elif len(rest):
             of[rest] = own + kind * clusters + np.arange(len(rest)) % clusters

@@ -7,7 +7,7 @@ given, is interpolated with the word counts of all training texts, by as much as
 of that first id are many different ones (Witten and Bell).
 
 All training texts are counted: words, ids, and the company of ids, from which the model's
-classes are learnt. The model is fitted on a sixteenth of all windows of all training texts,
+classes are learnt. The model is fitted on all windows of all training texts,
 dealt by hash into shards of about ``shard`` windows: one shard gives a start, every shard
 refines it in a task of its own, and the results are averaged. So what is gathered and
 learnt grows with the corpus, and no result depends on how the rows are partitioned.
@@ -32,8 +32,8 @@ from .token_counts import Automaton
 WORDS, IDS, TEXTS, NEAR, TRAIN = range(5)
 #: Text bytes handled at once; their arrays take about a hundred times that.
 SLICE = 1 << 20
-#: One window in so many is learnt from; near ids are up to REACH places away, of the ANCHORS most frequent ids.
-EVERY, REACH, ANCHORS = 16, 2, 64
+#: Windows of a text that are sent in one row; near ids are up to REACH places away, of the ANCHORS most frequent ids.
+RUN, REACH, ANCHORS = 4096, 2, 64
 #: Averages are taken of whole multiples of this, so that they don't depend on the order of a sum.
 UNIT = 2.0**-32
 
@@ -146,7 +146,7 @@ def _counts(texts: DataFrame, shared: Broadcast, ids: int) -> DataFrame:
 
 
 def _gathered(texts: DataFrame, shared: Broadcast, anchors: np.ndarray, ids: int, size: int) -> DataFrame:
-    """(kind, key, n, windows): how often ids are near anchors, and windows to learn from, at most 4,096 a row."""
+    """(kind, key, n, windows): how often ids are near anchors, and all windows, as the ids that up to RUN of them in a row pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, width = _Pieces(shared.value), 2 * len(anchors)
@@ -154,6 +154,12 @@ def _gathered(texts: DataFrame, shared: Broadcast, anchors: np.ndarray, ids: int
         place[anchors] = np.arange(len(anchors))
         near = np.zeros(ids * width, np.int32)
         names = ["kind", "key", "n", "windows"]
+        held: list[tuple[int, int, bytes]] = []
+
+        def runs(rows: list) -> pa.RecordBatch:
+            key, n, ids_ = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array([TRAIN] * len(rows), pa.int32()), pa.array(key, pa.int64()), pa.array(n, pa.int64()), pa.array(ids_, pa.binary())], names)
+
         for batch in batches:
             for part, data, offsets in textkit.slices(batch, "text", SLICE):
                 x = _Text(data, offsets, pieces, ids - 2)
@@ -166,18 +172,22 @@ def _gathered(texts: DataFrame, shared: Broadcast, anchors: np.ndarray, ids: int
                         to = np.clip(at + step, 0, len(owner) - 1)
                         ok = (owner[to] == text) & (to - at == step)
                         np.add.at(near, token[to[ok]] * width + (column[ok] + side), 1)
-                windows = Windows(x.offsets, size)
                 key = part.column(part.schema.get_field_index("key")).to_numpy().view(np.uint64)
-                with np.errstate(over="ignore"):
-                    draw = textkit.mix(key[windows.owner] + windows.which.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                chosen = np.flatnonzero(draw % np.uint64(EVERY) == 0)
-                group = windows.owner[chosen] * (1 << 32) + windows.which[chosen] // (4096 * EVERY)
-                cut = np.flatnonzero(np.diff(group, prepend=-1, append=-1)) if len(group) else []
-                for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-                    at = windows.places(chosen[lo:hi])
-                    found = np.where(at >= 0, x.tokens[np.maximum(at, 0)], -1).astype(np.int32)
-                    name = textkit.mix(key[windows.owner[chosen[lo]]] + np.array([windows.which[chosen[lo]] // (4096 * EVERY)], np.uint64)).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array([TRAIN], pa.int32()), pa.array(name), pa.array([hi - lo], pa.int64()), pa.array([found.tobytes()], pa.binary())], names)
+                for text, (low, high) in enumerate(zip(x.offsets[:-1], x.offsets[1:], strict=True)):
+                    count = len(Windows(np.array([0, high - low]), size))
+                    for first in range(0, count, RUN):
+                        n = min(RUN, count - first)
+                        ids_ = x.tokens[max(low, low + (first - 1) * size) : min(high, low + (first + n) * size + 1)]
+                        if not first:
+                            ids_ = np.concatenate((np.full(size, -1, np.int32), ids_))
+                        with np.errstate(over="ignore"):
+                            name = textkit.mix(key[text : text + 1] + np.array([first // RUN], np.uint64)).view(np.int64)
+                        held.append((int(name[0]), n, ids_.astype(np.int32).tobytes()))
+                    if len(held) >= 4096:
+                        yield runs(held)
+                        held = []
+        if held:
+            yield runs(held)
         key = np.flatnonzero(near)
         for lo in range(0, len(key), 1 << 16):
             some = key[lo : lo + (1 << 16)]
@@ -187,10 +197,17 @@ def _gathered(texts: DataFrame, shared: Broadcast, anchors: np.ndarray, ids: int
     return stored(rows.mapInArrow(run, "kind int, key long, n long, windows binary"))
 
 
-def _table(group: pa.Table, width: int) -> np.ndarray:
+def _windows(ids: np.ndarray, n: int, size: int) -> np.ndarray:
+    """The ``n`` windows that the ids of a run pass, -1 after its end."""
+    whole = np.full((n + 1) * size + 1, -1, np.int32)
+    whole[: len(ids)] = ids
+    return np.lib.stride_tricks.sliding_window_view(whole, 2 * size + 1)[::size]
+
+
+def _table(group: pa.Table, size: int) -> np.ndarray:
     """The windows of a shard in an order that is that of their texts' hashes."""
-    rows = sorted(zip(group["key"].to_pylist(), group["windows"].to_pylist(), strict=True))
-    return np.concatenate([np.frombuffer(w, np.int32).reshape(-1, width) for _, w in rows])
+    rows = sorted(zip(group["key"].to_pylist(), group["n"].to_pylist(), group["windows"].to_pylist(), strict=True))
+    return np.concatenate([_windows(np.frombuffer(w, np.int32), n, size) for _, n, w in rows])
 
 
 def _fit(gathered: DataFrame, model: AttentionLM, shard: int, steps: int) -> AttentionLM:
@@ -200,13 +217,13 @@ def _fit(gathered: DataFrame, model: AttentionLM, shard: int, steps: int) -> Att
     total = rows.agg(F.sum("n")).first()[0]
     if not total:
         return model
-    shards, width = -(-int(total) // shard), 2 * model.size + 1
-    dealt = rows.select(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), "key", "windows")
+    shards, size = -(-int(total) // shard), model.size
+    dealt = rows.select(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), "key", "n", "windows")
     shared = rows.sparkSession.sparkContext.broadcast(model)
     lowest = dealt.agg(F.min("shard")).first()[0]
 
     def start(group: pa.Table) -> pa.Table:
-        windows = _table(group, width)
+        windows = _table(group, size)
         rng = np.random.Generator(np.random.PCG64(11))
         fitted = AttentionLM.copy(shared.value).fit(windows, rng.integers(0, len(windows), 64 * steps), 4e-3, warm=50)
         return pa.table({"flat": pa.array([fitted.flat().tolist()], pa.list_(pa.float64()))})
@@ -215,7 +232,7 @@ def _fit(gathered: DataFrame, model: AttentionLM, shard: int, steps: int) -> Att
     seed = rows.sparkSession.sparkContext.broadcast(flat)
 
     def refine(group: pa.Table) -> pa.Table:
-        windows = _table(group, width)
+        windows = _table(group, size)
         rng = np.random.Generator(np.random.PCG64(int(group["shard"][0].as_py())))
         fitted = AttentionLM.copy(shared.value).load(seed.value).fit(windows, rng.permutation(len(windows)), 2e-3, warm=20)
         moved = np.rint((fitted.flat() - seed.value) / UNIT).astype(np.int64)
@@ -287,8 +304,8 @@ def lm_score(docs: DataFrame, vocabulary: list[bytes], head: int = 1 << 20, shar
     Returns doc_id, held_out, n_tokens (words and the end), n_known (tokens that occur in
     training texts), train_tokens (long), base_score and score (log10, double), one row per
     input row. Training texts are those of ids not held out, null ids included. Counts are of
-    all of them; rows alike in id and text are one text for the model's windows, of which a
-    sixteenth, chosen by hash, is learnt from. A null or empty text is its end alone. Without
+    all of them; rows alike in id and text are one text for the model's windows, all of which
+    are learnt from. A null or empty text is its end alone. Without
     training texts all counts are 0. Words are told apart by 64-bit hashes. Repeated rows count
     each. Other columns are ignored. ``head`` words are broadcast with their counts and the
     others meet theirs in a join; the scores don't depend on it.
