@@ -108,15 +108,25 @@ class AttentionLM:
 
     def fit(self, windows: np.ndarray, order: np.ndarray, rate: float, warm: int = 0, batch: int = 64) -> AttentionLM:
         """Adam over ``windows`` (ids in rows, -1 for none), in batches of ``order``; the rate falls to a tenth."""
-        m1, m2 = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
+        f = _Fit(self, windows)
+        m1, m2, t = np.zeros_like(f.flat), np.zeros_like(f.flat), np.empty_like(f.flat)
         steps = -(-len(order) // batch)
         for step in range(1, steps + 1):
-            grad = self._gradient(windows[order[(step - 1) * batch : step * batch]])
+            g = f.gradient(order[(step - 1) * batch : step * batch])
             lr = rate * min(1.0, step / max(1, warm)) * (1 - 0.9 * step / steps)
-            for k, g in grad.items():
-                m1[k] += 0.1 * (g - m1[k])
-                m2[k] += 0.01 * (g * g - m2[k])
-                self.p[k] -= (lr * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+            # the moments are kept as 10 and 100 times their values
+            m1 *= np.float32(0.9)
+            m1 += g
+            m2 *= np.float32(0.99)
+            m2 += np.multiply(g, g, out=t)
+            level = np.sqrt(1 - 0.99**step)
+            np.sqrt(m2, out=t)
+            t += np.float32(1e-7 * level)
+            np.divide(m1, t, out=t)
+            t *= np.float32(lr * level / (1 - 0.9**step))
+            f.flat -= t
+        for k, v in f.parts(f.p).items():
+            self.p[k] = v
         return self
 
     def _mask(self) -> tuple[np.ndarray, np.ndarray]:
@@ -125,107 +135,209 @@ class AttentionLM:
         return np.clip(apart, 0, 2 * self.size - 1), apart >= 0
 
     def _gradient(self, windows: np.ndarray) -> dict[str, np.ndarray]:
-        p, d, size = self.p, self.dim, self.size
-        n = len(windows)
-        inputs, target = windows[:, :-1], windows[:, size + 1 :]
-        live = (target >= 0) & (inputs[:, size:] >= 0)
-        rows = self.row[np.maximum(inputs, 0)]
-        x = p["E"][rows]
-        qkv = (x.reshape(-1, d) @ p["W"]).reshape(n, 2 * size, 3 * d)
-        q, k, v = qkv[:, size:, :d], qkv[:, :, d : 2 * d], qkv[:, :, 2 * d :]
-        apart, before = self._mask()
-        s = q @ k.transpose(0, 2, 1) * np.float32(1 / np.sqrt(d)) + p["B"][apart]
-        ok = before[None] & (inputs >= 0)[:, None, :]
-        s = np.where(ok, s, np.float32(-1e9))
-        s -= s.max(axis=2, keepdims=True)
-        a = np.exp(s)
-        a /= a.sum(axis=2, keepdims=True)
-        u = a @ v
-        h = (x[:, size:] + u @ p["O"]).reshape(-1, d)
-        z = np.maximum(h @ p["W1"] + p["b1"], 0)
-        h2 = h + z @ p["W2"]
-        logits = h2 @ p["C"] + p["bc"]
-        logits -= logits.max(axis=1, keepdims=True)
-        dl = np.exp(logits)
-        dl /= dl.sum(axis=1, keepdims=True)
-        dl[np.arange(len(dl)), self.of[np.maximum(target, 0)].ravel()] -= 1
-        dl *= (live.reshape(-1, 1) / np.float32(max(1, live.sum()))).astype(np.float32)
-        g = {"C": h2.T @ dl, "bc": dl.sum(axis=0)}
-        dh2 = dl @ p["C"].T
-        g["W2"] = z.T @ dh2
-        dz = (dh2 @ p["W2"].T) * (z > 0)
-        g["W1"], g["b1"] = h.T @ dz, dz.sum(axis=0)
-        dh = dh2 + dz @ p["W1"].T
-        g["O"] = u.reshape(-1, d).T @ dh
-        du = (dh @ p["O"].T).reshape(n, size, d)
-        da = du @ v.transpose(0, 2, 1)
-        dv = a.transpose(0, 2, 1) @ du
-        ds = a * (da - (da * a).sum(axis=2, keepdims=True))
-        g["B"] = np.bincount(apart.ravel(), (ds.sum(axis=0) * before).ravel(), 2 * size).astype(np.float32)
-        ds *= np.float32(1 / np.sqrt(d))
-        dq = np.zeros((n, 2 * size, d), np.float32)
-        dq[:, size:] = ds @ k
-        dqkv = np.concatenate([dq, ds.transpose(0, 2, 1) @ q, dv], axis=2).reshape(-1, 3 * d)
-        g["W"] = x.reshape(-1, d).T @ dqkv
-        dx = (dqkv @ p["W"].T).reshape(n, 2 * size, d)
-        dx[:, size:] += dh.reshape(n, size, d)
-        g["E"] = np.zeros_like(p["E"])
-        np.add.at(g["E"], rows.ravel(), dx.reshape(-1, d))
-        return g
-
-    def log10(self, tokens: np.ndarray, offsets: np.ndarray, chunk: int = 256) -> tuple[np.ndarray, np.ndarray]:
+        f = _Fit(self, windows)
+        f.gradient(np.arange(len(windows)))
+        return f.parts(f.g, np.zeros_like(self.p["E"]))
+
+    def log10(self, tokens: np.ndarray, offsets: np.ndarray, chunk: int = 64) -> tuple[np.ndarray, np.ndarray]:
         """(each, ends) of every place: log10 probability of its id, and that a word starts there.
 
         The id of a place that starts a word is given that one does. Both are 0 at the first
         place of a sequence. Every product has the same shape, whatever is scored beside.
         """
-        p, d, size = self.p, self.dim, self.size
-        each, ends = np.zeros(len(tokens), np.float32), np.zeros(len(tokens), np.float32)
-        windows = Windows(offsets, size)
+        p, d, size, c = self.p, self.dim, self.size, self.classes
         apart, before = self._mask()
-        bias = np.where(before, np.exp(np.minimum(p["B"][apart], 30)), 0).astype(np.float32)
-        # an input's key and value, and what a scored place asks for, depend on its id only
-        keys = np.concatenate((p["E"] @ p["W"][:, d : 2 * d], np.zeros((1, d), np.float32)))
-        # the last row, for places without an id, is worth nothing; the column of ones sums the weights
-        values = np.zeros((len(keys), d + 1), np.float32)
+        bias = np.ascontiguousarray(np.where(before, np.exp(np.minimum(p["B"][apart], 30)), 0).T.astype(np.float32))
+        # what an input asks for, its embedding, key and value depend on its id only; the last row, for places
+        # without an id, is worth nothing; the column of ones sums the weights
+        none = len(p["E"])
+        table = np.zeros((none + 1, 4 * d + 2), np.float32)
+        asks, own, keys, values = table[:, :d], table[:, d : 2 * d + 1], table[:, 2 * d + 1 : 3 * d + 1], table[:, 3 * d + 1 :]
+        asks[:-1], own[:-1, :d], keys[:-1] = p["E"] @ p["W"][:, :d] * np.float32(1 / np.sqrt(d)), p["E"], p["E"] @ p["W"][:, d : 2 * d]
         values[:-1, :d], values[:-1, d] = p["E"] @ (p["W"][:, 2 * d :] @ p["O"]), 1
-        asks = np.zeros((len(keys), 2 * d), np.float32)
-        asks[:-1, :d], asks[:-1, d:] = p["E"] @ p["W"][:, :d] * np.float32(1 / np.sqrt(d)), p["E"]
-        mass = np.exp(p["bc"])
-        sums = np.stack([mass, mass * self.start_class], axis=1).astype(np.float32)
-        row = np.append(self.row[tokens], np.int32(len(keys) - 1))  # place -1 is none
-        none = np.full((chunk, 2 * size + 1), -1)
-        for lo in range(0, len(windows), chunk):
-            at = windows.places(slice(lo, lo + chunk))
-            if len(at) < chunk:
-                at = np.concatenate((at, none[len(at) :]))
-            held = at[:, :-1] >= 0
-            mine = row.take(at[:, :-1])
-            q = asks.take(mine[:, size:], axis=0)
-            # one product a window: rounding doesn't depend on its neighbours
-            s = np.matmul(q[:, :, :d], keys.take(mine, axis=0).transpose(0, 2, 1))
+        # divided by itself, that column is the one that the biases go with
+        w1, w2, out = np.vstack((p["W1"], p["b1"])), np.pad(p["W2"], ((0, 0), (0, 1))), np.vstack((p["C"], p["bc"]))
+        ones, begins = np.ones(c, np.float32), self.start_class.astype(np.float32)
+        # a sequence is a block of no ids and the blocks of its ids; a block is read with the one before it
+        length = np.diff(offsets)
+        blocks = np.maximum(0, -(-(length - 1) // size))
+        last = np.cumsum(blocks + 1)
+        slot = np.arange(len(tokens)) + np.repeat((last - blocks) * size - offsets[:-1], length)
+        total = -(-int(last[-1] if len(last) else 0) // chunk) * chunk
+        first = np.zeros(len(tokens), bool)
+        first[offsets[:-1][length > 0]] = True
+        goal = np.flatnonzero(~first)
+        row = np.full((total + 1) * size, none, np.int64)
+        row[slot[goal] + size - 1] = self.row[tokens[goal - 1]]
+        asked, nxt = slot[goal] - 1, tokens[goal]
+        cell = asked % (chunk * size)
+        right_one = cell * c + self.of[nxt]
+        hit, mass, starting = (np.empty(len(goal), np.float32) for _ in range(3))
+        qt, s, h, logits = (np.empty(x, np.float32) for x in ((chunk, d, size), (chunk, 2 * size, size), (chunk, size, d + 1), (chunk * size, c)))
+        x, z = np.empty(((chunk + 1) * size, table.shape[1]), np.float32), np.empty((chunk, size, 2 * d), np.float32)
+        mine = x[size:].reshape(chunk, size, -1)
+        pairs = np.lib.stride_tricks.as_strided(x, (chunk, 2 * size, x.shape[1]), (size * x.strides[0], *x.strides), writeable=False)
+        bounds = np.searchsorted(asked, np.arange(0, (total + 1) * size, chunk * size))
+        for lo, left, right in zip(range(0, total, chunk), bounds[:-1], bounds[1:], strict=True):
+            if left == right:
+                continue
+            table.take(row[lo * size : (lo + chunk + 1) * size], axis=0, out=x, mode="clip")
+            # one product a window, or of as many rows as always: rounding doesn't depend on its neighbours
+            np.copyto(qt, mine[:, :, :d].transpose(0, 2, 1))
+            np.matmul(pairs[:, :, 2 * d + 1 : 3 * d + 1], qt, out=s)
             if s.max() > 50:
                 np.minimum(s, 50, out=s)
             np.exp(s, out=s)
             s *= bias
-            u = np.matmul(s, values.take(mine, axis=0))
-            h = u[:, :, :d] / (u[:, :, d:] + np.float32(1e-30))
-            h += q[:, :, d:]
-            z = np.matmul(h, p["W1"])
-            z += p["b1"]
+            np.matmul(s.transpose(0, 2, 1), pairs[:, :, 3 * d + 1 :], out=h)
+            h /= h[:, :, d:] + np.float32(1e-30)
+            h += mine[:, :, d : 2 * d + 1]
+            np.matmul(h, w1, out=z)
             np.maximum(z, 0, out=z)
-            h += np.matmul(z, p["W2"])
-            logits = np.matmul(h, p["C"])
+            h += np.matmul(z, w2)
+            np.matmul(h, out, out=logits.reshape(chunk, size, c))
             if logits.max() > 60:
                 np.minimum(logits, 60, out=logits)
-            place = at[:, size + 1 :].ravel()
-            live = np.flatnonzero((place >= 0) & held[:, size:].ravel())
-            place = place[live]
-            nxt = tokens[place]
-            of = self.of[nxt]
-            hit = logits.reshape(-1)[live * self.classes + of] + p["bc"][of]
+            logits.take(right_one[left:right], out=hit[left:right], mode="clip")
             np.exp(logits, out=logits)
-            total = np.log((logits.reshape(-1, self.classes) @ sums)[live])
-            each[place] = (hit - total[np.arange(len(live)), self.starts[nxt].view(np.int8)]) * LOG10 + self.within[nxt]
-            ends[place] = (total[:, 1] - total[:, 0]) * LOG10
+            at = cell[left:right]
+            (logits @ ones).take(at, out=mass[left:right], mode="clip")
+            (logits @ begins).take(at, out=starting[left:right], mode="clip")
+        np.log(mass, out=mass)
+        np.log(starting, out=starting)
+        each, ends = np.zeros(len(tokens), np.float32), np.zeros(len(tokens), np.float32)
+        each[goal] = (hit - np.where(self.starts[nxt], starting, mass)) * LOG10 + self.within[nxt]
+        ends[goal] = (starting - mass) * LOG10
         return each, ends
+
+
+def _product(x: np.ndarray, y: np.ndarray, n: int, out: np.ndarray) -> None:
+    """x.T @ y as a sum of ``n`` products, which take less time than one of so many rows."""
+    np.matmul(x.reshape(n, -1, x.shape[1]).transpose(0, 2, 1), y.reshape(n, -1, y.shape[1])).sum(axis=0, out=out)
+
+
+class _Fit:
+    """A model's parameters in one vector, and their gradient, over given windows.
+
+    Only the embeddings that occur in the windows are held, and one of zeros for places
+    without an id: the others have no gradient, so Adam leaves them as they are. Each
+    embedding ends in a constant one (zero: no id). It carries the biases, as last rows of
+    W1 and C, and sums the weights of attention, through a last column of W.
+    """
+
+    def __init__(self, model: AttentionLM, windows: np.ndarray):
+        self.model, d, c, size = model, model.dim, model.classes, model.size
+        inputs, target = windows[:, :-1], windows[:, size + 1 :]
+        row = model.row[np.maximum(inputs, 0)]
+        held = np.bincount(row[inputs >= 0], minlength=len(model.p["E"])) > 0
+        self.used = np.flatnonzero(held)
+        slot = np.cumsum(held) - 1
+        self.rows = np.where(inputs >= 0, slot[row], len(self.used))
+        self.live = ((target >= 0) & (inputs[:, size:] >= 0)).astype(np.float32)
+        self.of = model.of[np.maximum(target, 0)].astype(np.int64)
+        # transposed: inputs by scored places
+        apart, before = model._mask()
+        self.apart, self.before = np.ascontiguousarray(apart.T), np.ascontiguousarray(before.T.astype(np.float32))
+        shapes = {"E": (len(self.used) + 1, d + 1), "B": (2 * size,), "W": (d + 1, 3 * d + 1), "O": (d + 1, d + 1), "W1": (d + 1, 2 * d), "W2": (2 * d, d + 1), "C": (d + 1, c)}
+        ends = np.cumsum([int(np.prod(s)) for s in shapes.values()])
+        self.flat, self.grad = np.zeros(ends[-1], np.float32), np.zeros(ends[-1], np.float32)
+        self.p, self.g = ({k: part.reshape(s) for (k, s), part in zip(shapes.items(), np.split(x, ends[:-1]), strict=True)} for x in (self.flat, self.grad))
+        own, p = model.p, self.p
+        p["E"][:-1, :d], p["E"][:-1, d] = own["E"][self.used], 1
+        p["B"][:], p["O"][:d, :d], p["W2"][:, :d] = own["B"], own["O"], own["W2"]
+        p["W"][:d, : 3 * d], p["W"][d, 3 * d] = own["W"], 1
+        p["W1"][:d], p["W1"][d], p["C"][:d], p["C"][d] = own["W1"], own["b1"], own["C"], own["bc"]
+        self.cells = np.arange(p["E"].size).reshape(p["E"].shape)
+        self.ones = np.ones(c, np.float32)
+        self._room(0)
+
+    def parts(self, x: dict[str, np.ndarray], rest: np.ndarray | None = None) -> dict[str, np.ndarray]:
+        """The model's parameters, or their gradient, of ``x``; ``rest`` holds the embeddings that don't occur."""
+        d = self.model.dim
+        e = self.model.p["E"] if rest is None else rest
+        e[self.used] = x["E"][:-1, :d]
+        own = {"C": x["C"][:d], "bc": x["C"][d], "W2": x["W2"][:, :d], "W1": x["W1"][:d], "b1": x["W1"][d], "O": x["O"][:d, :d], "B": x["B"], "W": x["W"][:d, : 3 * d], "E": e}
+        return {k: v.copy() for k, v in own.items()}
+
+    def _room(self, n: int) -> None:
+        """Arrays for ``n`` windows; ``dy`` is 0 where nothing is written."""
+        d, c, size = self.model.dim, self.model.classes, self.model.size
+        self.n, self.start = n, np.arange(n * size) * c
+        self.y, self.dy = (np.zeros((n, 2 * size, 3 * d + 1), np.float32) for _ in range(2))
+        self.s, self.ds = (np.empty((n, 2 * size, size), np.float32) for _ in range(2))
+        self.qt, self.dut, self.u, self.du = (np.empty((n, *x), np.float32) for x in ((d, size), (d + 1, size), (size, d + 1), (size, d + 1)))
+        self.dl, self.dx = np.empty((n, size, c), np.float32), np.empty((n, 2 * size, d + 1), np.float32)
+
+    def gradient(self, at: np.ndarray) -> np.ndarray:
+        """The gradient of the mean loss of the windows ``at``; it is overwritten by the next."""
+        p, g, d, size, n = self.p, self.g, self.model.dim, self.model.size, len(at)
+        if n != self.n:
+            self._room(n)
+        few = np.gcd(n, 16)
+        rows, live, scale = self.rows.take(at, axis=0).ravel(), self.live.take(at, axis=0).ravel(), np.float32(1 / np.sqrt(d))
+        w = p["W"].copy()
+        w[:, :d] *= scale
+        x = p["E"].take(rows, axis=0)
+        y, s, u, dl, du, ds, dy, dx = self.y, self.s, self.u, self.dl, self.du, self.ds, self.dy, self.dx
+        np.matmul(x.reshape(few, -1, d + 1), w, out=y.reshape(few, -1, 3 * d + 1))
+        q, k, v = y[:, size:, :d], y[:, :, d : 2 * d], y[:, :, 2 * d :]
+        np.copyto(self.qt, q.transpose(0, 2, 1))
+        np.matmul(k, self.qt, out=s)
+        if s.max() > 50:
+            s -= s.max(axis=1, keepdims=True)
+        np.exp(s, out=s)
+        bias = np.exp(np.minimum(p["B"], 30)).take(self.apart)
+        bias *= self.before
+        s *= bias
+        np.matmul(s.transpose(0, 2, 1), v, out=u)
+        over = 1 / (u[:, :, d:] + np.float32(1e-30))
+        u *= over
+        h = np.matmul(u, p["O"])
+        h += x.reshape(n, 2 * size, d + 1)[:, size:]
+        z = np.matmul(h, p["W1"])
+        np.maximum(z, 0, out=z)
+        h2 = np.matmul(z, p["W2"])
+        h2 += h
+        u, h, z, h2 = (a.reshape(n * size, -1) for a in (u, h, z, h2))
+        # dl: the classes' masses, less all of them at the right one; what they are divided by goes with narrower factors
+        np.matmul(h2.reshape(few, -1, d + 1), p["C"], out=dl.reshape(few, n // few * size, -1))
+        if dl.max() > 60:
+            dl -= dl.max(axis=2, keepdims=True)
+        np.exp(dl, out=dl)
+        dl = dl.reshape(n * size, -1)
+        mass = dl @ self.ones
+        mass += np.float32(1e-30)
+        self.dl.reshape(-1)[self.start + self.of.take(at, axis=0).ravel()] -= mass
+        part = (live / (mass * max(1.0, live.sum())))[:, None]
+        h2 *= part
+        _product(h2, dl, few, g["C"])
+        dh = np.matmul(dl.reshape(few, n // few * size, -1), np.ascontiguousarray(p["C"].T)).reshape(n * size, d + 1)
+        dh *= part
+        _product(z, dh, few, g["W2"])
+        dz = dh @ np.ascontiguousarray(p["W2"].T)
+        dz *= z > 0
+        _product(h, dz, few, g["W1"])
+        dh += dz @ np.ascontiguousarray(p["W1"].T)
+        _product(u, dh, few, g["O"])
+        # by softmax, a weight's share less what all share: the last column takes that off where there is an id
+        flat = du.reshape(n * size, d + 1)
+        np.matmul(dh, np.ascontiguousarray(p["O"].T), out=flat)
+        u *= flat
+        np.negative(u @ self.ones[: d + 1], out=flat[:, d])
+        du *= over
+        np.copyto(self.dut, du.transpose(0, 2, 1))
+        np.matmul(v, self.dut, out=ds)
+        ds *= s
+        g["B"][:] = np.bincount(self.apart.ravel(), ds.sum(axis=0).ravel(), 2 * size)
+        np.matmul(ds.transpose(0, 2, 1), k, out=dy[:, size:, :d])
+        np.matmul(ds, q, out=dy[:, :, d : 2 * d])
+        np.matmul(s, du[:, :, :d], out=dy[:, :, 2 * d : 3 * d])
+        _product(x, dy.reshape(n * 2 * size, -1), few, g["W"])
+        g["W"][:, :d] *= scale
+        np.matmul(dy.reshape(few, n // few * 2 * size, -1), np.ascontiguousarray(w.T), out=dx.reshape(few, -1, d + 1))
+        dx[:, size:] += dh.reshape(n, size, d + 1)
+        g["E"][:] = 0
+        np.add.at(g["E"].reshape(-1), self.cells.take(rows, axis=0).ravel(), dx.ravel())
+        # what is constant stays
+        g["E"][-1], g["E"][:, d], g["W"][d], g["W"][:, 3 * d], g["O"][d], g["O"][:, d], g["W2"][:, d] = 0, 0, 0, 0, 0, 0, 0
+        return self.grad

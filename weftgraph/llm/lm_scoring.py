@@ -76,7 +76,7 @@ class _Text:
     def __init__(self, data: np.ndarray, offsets: np.ndarray, pieces: _Pieces, end: int, flat: bool = True):
         low = textkit.LOWER[data]
         self.words = textkit.Words(low, offsets)
-        h = textkit.span_hashes(low, self.words.start, self.words.end)
+        h = textkit.word_hashes(self.words)
         code, found = pd.factorize(h)
         order = np.argsort(found)
         self.hash, rank = found[order], np.empty(len(found), np.int64)
@@ -90,20 +90,24 @@ class _Text:
         if not flat:
             return
         per_word = size[self.back]
-        stop = np.cumsum(per_word)
-        total = np.concatenate(([0], stop))
+        total = np.concatenate(([0], np.cumsum(per_word)))
         n = np.diff(total[self.words.first])
         self.offsets = np.concatenate(([0], np.cumsum(n + 2)))
         self.tokens = np.full(self.offsets[-1], end, np.int32)
         self.tokens[self.offsets[:-1]] = end + 1
         #: Place of each word's first id, and the one after its last.
-        self.at = stop - per_word + 2 * np.repeat(np.arange(len(n)), np.diff(self.words.first)) + 1
+        self.at = total[:-1] + np.repeat(np.arange(1, 2 * len(n), 2), np.diff(self.words.first))
         self.stop = self.at + per_word
-        # word by word: a text's words fill its places but the first and last
-        inner = np.ones(len(self.tokens), bool)
-        inner[self.offsets[:-1]] = inner[self.offsets[1:] - 1] = False
-        begin = start[self.back] - (stop - per_word)
-        self.tokens[inner] = pool[np.repeat(begin.astype(np.int32), per_word) + np.arange(int(per_word.sum()), dtype=np.int32)]
+        # all words' first ids, then the second ones of those that have one, and so on
+        to, of = self.at, start[self.back]
+        self.tokens[to] = self.first[self.back]
+        more = np.flatnonzero(per_word > 1)
+        to, of, left = to[more], of[more], per_word[more]
+        while len(to):
+            to, of, left = to + 1, of + 1, left - 1
+            self.tokens[to] = pool[of]
+            if len(more := np.flatnonzero(left > 1)) < len(left):
+                to, of, left = to[more], of[more], left[more]
 
 
 def _rows(kind: int, key: np.ndarray, first: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
@@ -146,13 +150,20 @@ def _counts(texts: DataFrame, shared: Broadcast, ids: int) -> DataFrame:
 
 
 def _gathered(texts: DataFrame, shared: Broadcast, anchors: np.ndarray, ids: int, size: int) -> DataFrame:
-    """(kind, key, n, windows): how often ids are near anchors, and all windows, as the ids that up to RUN of them in a row pass."""
+    """(kind, key, n, windows): how often ids are near anchors, and all windows, as the ids that up to RUN of them in a row pass.
+
+    The ids are 2 or 4 bytes each, after a byte that says which. Runs alike in key are alike; a task seldom repeats one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, width = _Pieces(shared.value), 2 * len(anchors)
-        place = np.full(ids, -1, np.int64)
+        none, one = ids, np.int32(1)
+        packed = np.dtype(np.uint16 if ids < 0xFFFF else np.int32)
+        head_of = [bytes([packed.itemsize]) + start for start in (np.full(size, -1).astype(packed).tobytes(), b"")]
+        seen: set[int] = set()
+        place = np.full(ids + 1, -1, np.int64)
         place[anchors] = np.arange(len(anchors))
-        near = np.zeros(ids * width, np.int32)
+        near = np.zeros((ids + 1) * width, np.int32)
         names = ["kind", "key", "n", "windows"]
         held: list[tuple[int, int, bytes]] = []
 
@@ -163,32 +174,37 @@ def _gathered(texts: DataFrame, shared: Broadcast, anchors: np.ndarray, ids: int
         for batch in batches:
             for part, data, offsets in textkit.slices(batch, "text", SLICE):
                 x = _Text(data, offsets, pieces, ids - 2)
-                owner = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(x.offsets))
-                token = x.tokens.astype(np.int64)
-                at = np.flatnonzero(place[x.tokens] >= 0)
-                column, text = place[x.tokens[at]], owner[at]
+                # texts apart by places that are near nothing
+                text = np.arange(len(offsets) - 1)
+                spread = np.full(len(x.tokens) + REACH * (len(text) + 1), none, np.int64)
+                spread[np.arange(len(x.tokens)) + REACH * (np.repeat(text, np.diff(x.offsets)) + 1)] = x.tokens
+                at = np.flatnonzero(place[spread] >= 0)
+                column = place[spread[at]]
                 for shift in range(1, REACH + 1):
                     for step, side in ((shift, 0), (-shift, len(anchors))):
-                        to = np.clip(at + step, 0, len(owner) - 1)
-                        ok = (owner[to] == text) & (to - at == step)
-                        np.add.at(near, token[to[ok]] * width + (column[ok] + side), 1)
+                        np.add.at(near, spread[at + step] * width + (column + side), one)
                 key = part.column(part.schema.get_field_index("key")).to_numpy().view(np.uint64)
-                for text, (low, high) in enumerate(zip(x.offsets[:-1], x.offsets[1:], strict=True)):
-                    count = len(Windows(np.array([0, high - low]), size))
-                    for first in range(0, count, RUN):
-                        n = min(RUN, count - first)
-                        ids_ = x.tokens[max(low, low + (first - 1) * size) : min(high, low + (first + n) * size + 1)]
-                        if not first:
-                            ids_ = np.concatenate((np.full(size, -1, np.int32), ids_))
-                        with np.errstate(over="ignore"):
-                            name = textkit.mix(key[text : text + 1] + np.array([first // RUN], np.uint64)).view(np.int64)
-                        held.append((int(name[0]), n, ids_.astype(np.int32).tobytes()))
+                w = Windows(x.offsets, size)
+                head = np.flatnonzero(w.which % RUN == 0)
+                owner, first, n = w.owner[head], w.which[head], np.diff(np.append(head, len(w)))
+                with np.errstate(over="ignore"):
+                    name = textkit.mix(key[owner] + (first // RUN).astype(np.uint64)).view(np.int64)
+                low = x.offsets[owner] + (first - 1) * size
+                high = np.minimum(x.offsets[owner + 1], low + (n + 1) * size + 1)
+                low += np.where(first, 0, size)
+                token = x.tokens.astype(packed)
+                for later, begin, end, key_, n_ in zip((first > 0).tolist(), low.tolist(), high.tolist(), name.tolist(), n.tolist(), strict=True):
+                    if key_ not in seen:
+                        held.append((key_, n_, head_of[later] + token[begin:end].tobytes()))
+                        seen.add(key_)
+                if len(seen) > 1 << 18:
+                    seen.clear()
                     if len(held) >= 4096:
                         yield runs(held)
                         held = []
         if held:
             yield runs(held)
-        key = np.flatnonzero(near)
+        key = np.flatnonzero(near[: ids * width])
         for lo in range(0, len(key), 1 << 16):
             some = key[lo : lo + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), NEAR, np.int32)), pa.array(some), pa.array(near[some].astype(np.int64)), pa.nulls(len(some), pa.binary())], names)
@@ -204,17 +220,26 @@ def _windows(ids: np.ndarray, n: int, size: int) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(whole, 2 * size + 1)[::size]
 
 
+def _unpacked(ids: bytes) -> np.ndarray:
+    if ids[0] == 4:
+        return np.frombuffer(ids, np.int32, offset=1)
+    out = np.frombuffer(ids, np.uint16, offset=1).astype(np.int32)
+    out[out == 0xFFFF] = -1
+    return out
+
+
 def _table(group: pa.Table, size: int) -> np.ndarray:
-    """The windows of a shard in an order that is that of their texts' hashes."""
-    rows = sorted(zip(group["key"].to_pylist(), group["n"].to_pylist(), group["windows"].to_pylist(), strict=True))
-    return np.concatenate([_windows(np.frombuffer(w, np.int32), n, size) for _, n, w in rows])
+    """The windows of a shard, each key's once, in an order that is that of their texts' hashes."""
+    key = group["key"].to_numpy()
+    _, once = np.unique(key, return_index=True)
+    n, ids = group["n"].to_numpy(), group["windows"]
+    return np.concatenate([_windows(_unpacked(ids[i].as_py()), n[i], size) for i in once.tolist()])
 
 
 def _fit(gathered: DataFrame, model: AttentionLM, shard: int, steps: int) -> AttentionLM:
     """The model fitted on all windows of ``gathered``: a start from one shard, refined in each and averaged."""
-    rows = gathered.filter(F.col("kind") == TRAIN).groupBy("key").agg(F.first("windows").alias("windows"), F.first("n").alias("n"))
-    rows = stored(rows)
-    total = rows.agg(F.sum("n")).first()[0]
+    rows = gathered.filter(F.col("kind") == TRAIN)
+    total = rows.select("key", "n").distinct().agg(F.sum("n")).first()[0]
     if not total:
         return model
     shards, size = -(-int(total) // shard), model.size

@@ -137,6 +137,27 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: boo
     return out
 
 
+_UNPOW = np.multiply.accumulate(np.full(len(_POW), pow(int(_RADIX), -1, 1 << 64), np.uint64)) * _RADIX
+
+
+def word_hashes(words: Words, limit: int = 4 << 20) -> np.ndarray:
+    """``span_hashes`` of all words, from running sums over the whole buffer; of one above ``limit`` bytes, from the spans."""
+    global _POW, _UNPOW
+    n = len(words.data)
+    if n > limit:
+        return span_hashes(words.data, words.start, words.end)
+    with np.errstate(over="ignore"):
+        if n > min(len(_POW), len(_UNPOW)):
+            _POW = _powers(max(2 * n, len(_POW)))
+            _UNPOW = np.multiply.accumulate(np.full(len(_POW), pow(int(_RADIX), -1, 1 << 64), np.uint64)) * _RADIX
+        sums = np.zeros(n + 1, np.uint64)
+        value = _BYTE[words.data]
+        value *= _POW[:n]
+        np.cumsum(value, out=sums[1:])
+        # powers count from the buffer's start; the inverse one counts them from the word's
+        return mix((sums[words.end] - sums[words.start]) * _UNPOW[words.start] + (words.end - words.start).astype(np.uint64) * _RADIX)
+
+
 def shingles(h: np.ndarray, k: int) -> np.ndarray:
     """Hashes of the k-word windows of one text; a shorter text is one window, none if empty."""
     k = min(k, len(h))

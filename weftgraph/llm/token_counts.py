@@ -70,6 +70,7 @@ class Automaton:
         self.to = np.fromiter(child.values(), np.int32, len(child))[order]
         self._hashed()
         self.piece_id = np.array(self.piece_id, np.int32)
+        self.root = np.array([child[byte] for byte in range(256)], np.int32)
         self.fail, self.pops, self.rest = (np.array(x, np.int32) for x in (fail, pops, rest))
 
     def _hashed(self) -> None:
@@ -122,27 +123,34 @@ class Automaton:
     def pieces(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, lead: int = 32) -> tuple[np.ndarray, np.ndarray]:
         """Greedy longest-match piece ids of each span with the byte ``lead`` before it, and the offsets of each span's."""
         owner, ids = [], []
-        at, todo = np.full(len(start), -1, np.int64), np.arange(len(start))
-        size = end - start
+        at, todo = start.copy(), np.arange(len(start))
+        first = True
         while len(todo):
-            cursor, state = at[todo].copy(), np.zeros(len(todo), np.int32)
-            best, stop = np.zeros(len(todo), np.int32), cursor.copy()
-            live = np.arange(len(todo))
+            cursor, stop = at[todo], end[todo]
+            # the first step is from the root, where every byte has an edge that is a piece
+            if first:
+                state = np.full(len(todo), self.root[lead], np.int32)
+            else:
+                state = self.root[data[cursor]]
+                cursor += 1
+            first = False
+            best, after = self.piece_id[state], cursor.copy()
+            live = np.flatnonzero(cursor < stop)
+            state, cursor, stop = state[live], cursor[live], stop[live]
             while len(live):
-                where = cursor[live]
-                byte = np.where(where < 0, lead, data[np.minimum(start[todo[live]] + np.maximum(where, 0), len(data) - 1)])
-                hit, to = self._step(state[live], byte)
-                live, to = live[hit], to[hit]
-                state[live] = to
-                cursor[live] += 1
-                found = self.piece_id[to]
-                good = found >= 0
-                best[live[good]], stop[live[good]] = found[good], cursor[live[good]]
-                live = live[cursor[live] < size[todo[live]]]
+                hit, to = self._step(state, data[cursor])
+                go = np.flatnonzero(hit)
+                live, state, cursor, stop = live[go], to[go], cursor[go] + 1, stop[go]
+                found = self.piece_id[state]
+                good = np.flatnonzero(found >= 0)
+                best[live[good]], after[live[good]] = found[good], cursor[good]
+                go = np.flatnonzero(cursor < stop)
+                if len(go) < len(live):
+                    live, state, cursor, stop = live[go], state[go], cursor[go], stop[go]
             owner.append(todo)
             ids.append(best)
-            at[todo] = stop
-            todo = todo[stop < size[todo]]
+            at[todo] = after
+            todo = todo[after < end[todo]]
         if not owner:
             return np.zeros(0, np.int32), np.zeros(1, np.int64)
         whose, flat = np.concatenate(owner), np.concatenate(ids)
